@@ -1 +1,5 @@
 """A full-text phrase search engine on Spark DataFrames."""
+
+from .engine import Document, Index, PhraseSearch, Result
+
+__all__ = ["Document", "Index", "PhraseSearch", "Result"]

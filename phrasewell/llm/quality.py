@@ -55,7 +55,8 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, n_raw, n_target) over all n-grams of all documents."""
     good = trusted(labels).select(F.col("doc_id").alias("trusted_id"))
     marked = docs.select("doc_id", "text").where("text is not null")
-    marked = marked.join(good, F.expr("doc_id = trusted_id"), "left")
+    # A shuffle at every size: the labels grow with the corpus, so a broadcast would only last so long.
+    marked = marked.join(good.hint("shuffle_hash"), F.expr("doc_id = trusted_id"), "left")
     marked = marked.select("text", F.col("trusted_id").isNotNull().alias("good"))
 
     def count(batches):
