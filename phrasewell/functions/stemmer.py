@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _VOWELS = frozenset("aeiouy")
 _UNTOUCHED = frozenset({"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"})
@@ -153,7 +154,7 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def stem_column(words: pa.Array) -> pa.Array:
     """stem() of each word; meant for distinct words."""
     return pa.array([None if w is None else stem(w) for w in words.to_pylist()], pa.string())
