@@ -1,13 +1,19 @@
-"""The queries of this subpackage: each operator over its whole table, and the pipeline."""
+"""The queries of this subpackage: each operator over its whole table, and their SQL where there is some."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, decontaminate, quality, simhash_dedup, token_store
+from . import cube, decontaminate, html_text, license_scan, quality, simhash_dedup, suffix_dedup, token_store, url_rules
 from .common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,10 +22,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_blocks(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,11 +46,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mixture(table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict:
-    return {
-        "op2_simhash_near_dedup": op2_simhash_near_dedup,
-        "op3_quality_rules": op3_quality_rules,
-        "op6_token_blocks": op6_token_blocks,
-        "op9_decontamination": op9_decontamination,
-        "op10_mixture": op10_mixture,
-    }
+OPERATORS = (
+    op1_html_text, op2_simhash_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_url_rules, op6_token_blocks,
+    op7_license_scan, op9_decontamination, op10_mixture,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in OPERATORS}
