@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, decontaminate, html_text, license_scan, quality, simhash_dedup, suffix_dedup, token_store, url_rules
+from . import cube, decontaminate, html_text, license_scan, line_dedup, quality, simhash_dedup, suffix_dedup, token_store, url_rules
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_html_text, op2_simhash_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_url_rules, op6_token_blocks,
-    op7_license_scan, op9_decontamination, op10_mixture,
+    op7_license_scan, op8_fuzzy_line_dedup, op9_decontamination, op10_mixture,
 )
 
 

@@ -50,26 +50,13 @@ assert 3**LEVELS >= MIN_WORDS
 #: A word's code has so many bits, so that three fit in 64; 0 is the end of a region.
 CODE_BITS = 21
 #: Words in a chunk of regions, and suffixes in a range, about.
-CHUNK = 1 << 19
-RANGE = 1 << 19
+CHUNK = 1 << 18
+RANGE = 1 << 18
 #: Selected sequences in a bucket.
 BUCKET = 1 << 20
 #: Keys from which a level's ranges are chosen, about, whatever the corpus.
 SAMPLE = 200_000
 _U = np.uint64
-_MIXED = _U(0xA24BAED4963EE407)
-
-
-def prefix_sums(w: V.Words) -> np.ndarray:
-    """Running sums from which the hash of any word sequence follows."""
-    n = len(w.hash)
-    out = np.zeros(n + 1, _U)
-    np.cumsum(V.mix(w.hash ^ _MIXED) * V.powers(V.BASE, n), out=out[1:])
-    return out
-
-
-def sequence_hash(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return V.mix((sums[end] - sums[first]) * V.powers(V._INVERSE, len(sums))[first])
 
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -122,12 +109,12 @@ def sketch(batches):
     for batch in batches:
         ids, rows = batch.column(0).to_numpy(zero_copy_only=False), []
         for w in V.slices(batch.column(1), V.ALNUM):
-            sums = prefix_sums(w)
+            sums = V.prefix_sums(w)
             n = w.counts()
-            whole = sequence_hash(sums, w.bounds[:-1], w.bounds[1:])
+            whole = V.sequence_hash(sums, w.bounds[:-1], w.bounds[1:])
             for k in np.flatnonzero(n >= MIN_WORDS).tolist():
                 first = np.arange(w.bounds[k], w.bounds[k + 1] - SEED + 1)
-                h = sequence_hash(sums, first, first + SEED)
+                h = V.sequence_hash(sums, first, first + SEED)
                 at = selected(h)
                 rows.append((int(ids[k + w.first]), int(whole[k].view(np.int64)), int(n[k]), _cell(h[at]), _cell(at.astype(np.int32))))
         if rows:
@@ -193,8 +180,8 @@ def regions(batches):
         ids, hs, parts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
         rows = []
         for w in V.slices(batch.column(2), V.ALNUM):
-            sums = prefix_sums(w)
-            whole = sequence_hash(sums, w.bounds[:-1], w.bounds[1:]).view(np.int64)
+            sums = V.prefix_sums(w)
+            whole = V.sequence_hash(sums, w.bounds[:-1], w.bounds[1:]).view(np.int64)
             code = np.maximum(V.mix(w.hash) >> shift, _U(1)).astype(np.int32)
             for k in range(len(w.bounds) - 1):
                 if whole[k] != hs[k + w.first]:
@@ -206,7 +193,7 @@ def regions(batches):
                 for first, end in zip(a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist()):
                     at = np.arange(w.bounds[k] + first, w.bounds[k] + end - MIN_WORDS + 1)
                     if len(at):
-                        prints = sequence_hash(sums, at, at + MIN_WORDS)
+                        prints = V.sequence_hash(sums, at, at + MIN_WORDS)
                         rows.append((ids[k + w.first], int(whole[k]), first, _cell(code[w.bounds[k] + first : w.bounds[k] + end]), _cell(prints)))
         if rows:
             yield from _batch(rows, _REGION).to_batches()

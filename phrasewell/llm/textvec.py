@@ -32,6 +32,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 _powers: dict[int, np.ndarray] = {}
+_SEQUENCE = np.uint64(0xA24BAED4963EE407)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -124,6 +125,18 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, first:
     return Words(first, np.searchsorted(start, offsets), h, start, end, data, offsets[:-1])
 
 
+def prefix_sums(w: Words) -> np.ndarray:
+    """Running sums from which the hash of any word sequence follows."""
+    n = len(w.hash)
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(w.hash ^ _SEQUENCE) * powers(BASE, n), out=out[1:])
+    return out
+
+
+def sequence_hash(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[first]) * powers(_INVERSE, len(sums))[first])
+
+
 def grams(w: Words, n: int, multiplier: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
     """(hash, valid) of the n-word sequence that starts at each word.
 
