@@ -58,3 +58,8 @@ OPERATORS = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
+
+
+def oracle_sql() -> dict[str, str]:
+    """None: signatures, trees, samples and codes aren't SQL; tests/llm holds each query against brute force."""
+    return {}

@@ -1,18 +1,22 @@
 """Operator 5, URL filters: association rules mined from labels, matched by an inverted index.
 
-A URL's tokens are its lower-cased parts between ``/ . ? & = # : _``, each once.
-Pages with a label are the transactions; a page is bad if any of its labels has
-quality 0 or toxic 1.  FP-growth finds the token combinations that occur
-together with the bad label at least ``MIN_SUPPORT`` of the transactions (and
-``MIN_COUNT``) often; those become rules if the share of bad pages among the
-pages with the combination (confidence) is at least ``MIN_CONFIDENCE`` and
-``MIN_LIFT`` times the overall share.  A rule goes if a more general one has at
-least its confidence.  Rules are indexed under their rarest token; a page meets
-the rules of its tokens there, and a rule matches if the page has all of its tokens.
+A URL's tokens are its lower-cased parts between ``/ . ? & = # : _``, each once,
+without bare numbers.  A page shows the document whose number ends its path; the
+pages of labelled documents are the transactions.  A page is bad if any of its
+document's labels has quality 0 or toxic 1.  FP-growth finds the token
+combinations that occur together with the bad label in at least ``MIN_SUPPORT``
+of the transactions (and ``MIN_COUNT`` times); those become rules if the share
+of bad pages among the pages with the combination (confidence) is at least
+``MIN_CONFIDENCE`` and ``MIN_LIFT`` times the overall share.  A rule goes if a
+more general one has at least its confidence.  Rules are indexed under their
+rarest token; a page meets the rules of its tokens there, and a rule matches if
+the page has all of its tokens.  Every page gets a verdict.
 
 Defined results: null and empty URLs have no tokens and match nothing; labels
-with a null id are ignored; a repeated page row is a transaction, and a result,
-of its own.  Without labelled pages there are no rules and the result is empty.
+with a null id and pages without a document's number take no part in mining; a
+repeated page row is a transaction, and a result, of its own.  Without labelled
+pages there are no rules and no page is blocked.  Where URLs tell nothing about
+labels, no rule passes, and that is the result.
 """
 
 from __future__ import annotations
@@ -34,15 +38,21 @@ BAD = "label bad"
 def tokens(url):
     """The tokens of a URL column, sorted, each once."""
     lower = F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.filter(F.split(lower, r"[/.?&=#:_\s]+"), lambda x: x != "")
+    parts = F.filter(F.split(lower, r"[/.?&=#:_\s]+"), lambda x: ~x.rlike("^[0-9]*$"))
     return F.array_sort(F.array_distinct(F.coalesce(parts, F.array().cast("array<string>"))))
 
 
+def document_of(url):
+    """The number that ends a URL's path, the id of the document that the page shows; else null."""
+    return F.try_to_number(F.regexp_extract(url, r"^[a-z]+://[^/?#]+/(?:[^?#]*/)?([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#]|$)", 1), F.lit("9" * 18)).cast("bigint")
+
+
 def transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(tokens, bad) of each labelled page."""
     verdict = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     by = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(verdict.alias("bad"))
-    return pages.select("page_id", tokens(F.col("url")).alias("tokens")).join(by, F.expr("page_id = label_id")).select("tokens", "bad")
+    shown = pages.select(tokens(F.col("url")).alias("tokens"), document_of(F.col("url")).alias("shown_id"))
+    return shown.join(by, F.expr("shown_id = label_id")).select("tokens", "bad")
 
 
 def rules(labelled: DataFrame) -> DataFrame:
@@ -82,18 +92,18 @@ def rules(labelled: DataFrame) -> DataFrame:
 
 
 def match(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """(page_id, url, rule, confidence, n_bad, n_rules) of each page that a rule matches, with its best rule."""
-    # A page row may repeat: n_copies rows of the same id and URL match alike.
-    known = pages.select("page_id", "url").where("url is not null").groupBy("page_id", "url").agg(F.count("*").alias("n_copies"))
+    """(page_id, url, blocked, rule, confidence, n_bad, n_rules) of each page, with the best rule that matches it."""
+    every = pages.select("page_id", "url")
+    known = every.where("page_id is not null and url is not null").distinct()
     each = known.withColumn("tokens", tokens(F.col("url"))).withColumn("rarest", F.explode("tokens"))
     met = each.join(index, "rarest").where(F.size(F.array_except("rule", "tokens")) == 0)
     best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("n_bad")).alias("n"), F.concat_ws(" ", "rule").alias("rule")))
-    out = met.groupBy("page_id", "url", "n_copies").agg(best.alias("best"), F.count("*").alias("n_rules"))
-    out = out.select(
-        "page_id", "url", F.col("best.rule").alias("rule"), F.round(-F.col("best.c"), 6).alias("confidence"),
-        (-F.col("best.n")).alias("n_bad"), "n_rules", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"),
+    matched = met.groupBy("page_id", "url").agg(best.alias("best"), F.count("*").alias("n_rules"))
+    out = every.join(matched, ["page_id", "url"], "left")
+    return out.select(
+        "page_id", "url", F.col("best").isNotNull().alias("blocked"), F.col("best.rule").alias("rule"), F.round(-F.col("best.c"), 6).alias("confidence"),
+        (-F.col("best.n")).alias("n_bad"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"),
     )
-    return out.drop("copy")
 
 
 def url_filter(pages: DataFrame, labels: DataFrame) -> DataFrame:
