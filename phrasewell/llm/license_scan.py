@@ -9,8 +9,9 @@ up there.  Hits of a template on neighbouring diagonals make a candidate, which
 a local alignment (+1 for an equal word, -1 for a replaced, missing or added
 one) confirms within ``BAND`` diagonals around the hits.  Reported are
 alignments that match at least ``MIN_COVERAGE`` of the template's words, with
-their words' span; of overlapping ones of the same template the better, and of
-several templates of a licence on the same words each.
+their words' span; of overlapping ones of the same template the better.  An
+alignment within one of another template that matches more words is left out: a
+longer licence name isn't the shorter one, too.
 
 Defined results: null, empty and wordless texts match nothing; a null id is
 reported as null; repeated rows are each reported.  Texts have no length limit.
@@ -135,15 +136,23 @@ def scan(column, ix: Index) -> list[tuple[int, int, int, int, int]]:
             score, matched, start, end = align(ix.words[t], mine[first:last], low - first, high - first)
             if matched >= MIN_COVERAGE * len(ix.words[t]):
                 rows.setdefault((k, t), []).append((-score, start + first, end + first, matched))
+        by: dict[int, list[tuple[int, int, int, int]]] = {}
         for (k, t), found in rows.items():
             taken: list[tuple[int, int]] = []
             for _, start, end, matched in sorted(found):
                 if all(end <= a or start >= b for a, b in taken):
                     taken.append((start, end))
-                    out.append((k + w.first, t, matched, start, end))
+                    by.setdefault(k, []).append((t, matched, start, end))
+        for k, found in by.items():
+            out += [(k + w.first, *x) for x in found if not any(within(x, y) for y in found)]
     return out
 
 
+def within(x: tuple[int, int, int, int], y: tuple[int, int, int, int]) -> bool:
+    """Whether another template's alignment y covers x's words and matches more of them."""
+    return y[2] <= x[2] and x[3] <= y[3] and y[1] > x[1]
+
+
 def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, template, matched_words, template_words, coverage, first_word, end_word) of each match."""
     source = docs.select("doc_id", "text")
