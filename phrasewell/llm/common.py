@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _DIR_CONF = "spark.checkpoint.dir"
 _own: list[str] = []
+#: Rows of integer keys that a broadcast may have (some 150 MB as a hashed relation).
+BROADCAST_ROWS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,11 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join, to be broadcast if it has at most that many rows; else Spark shuffles both."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def free(df: DataFrame, wanted: str) -> str:
     """A column name that df lacks, so that extra columns of the input can't clash."""
     have = {c.lower() for c in df.columns}

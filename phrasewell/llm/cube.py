@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, materialize, release
+from .common import BROADCAST_ROWS, checked, free, materialize, release
 
 ALPHA = 0.7
 SEED = 20240229
@@ -179,4 +179,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     a, b = free(docs, "taken_id"), free(docs, "taken_source")
     taken = balanced_sample(docs, weights).select(F.col("unit_id").alias(a), F.col("unit_source").alias(b))
     same = docs["doc_id"].eqNullSafe(taken[a]) & docs["source"].cast("string").eqNullSafe(taken[b])
-    return docs.join(taken, same, "left_semi")
+    return docs.join(checked(taken, BROADCAST_ROWS // 8), same, "left_semi")  # wider keys: fewer rows

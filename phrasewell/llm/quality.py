@@ -13,8 +13,8 @@ one exact integer division, whatever the order of its terms.
 Defined results: a null, empty or blank text has no n-grams, a null score and is
 not kept.  A repeated row is scored (and counted) each time.  A document is
 trusted if any of its label rows says so; labels with null ids or values are
-ignored.  Without documents, labels or trusted documents every ratio follows
-from the smoothing alone (0 if there is no text at all).
+ignored.  Without trusted text nothing can be told: every ratio is 0, and each
+document with n-grams is kept.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
-from .common import free
+from .common import checked, free
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -55,8 +55,8 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, n_raw, n_target) over all n-grams of all documents."""
     good = trusted(labels).select(F.col("doc_id").alias("trusted_id"))
     marked = docs.select("doc_id", "text").where("text is not null")
-    # A shuffle at every size: the labels grow with the corpus, so a broadcast would only last so long.
-    marked = marked.join(good.hint("shuffle_hash"), F.expr("doc_id = trusted_id"), "left")
+    # The labels grow with the corpus: texts stay where they are while the ids are few enough.
+    marked = marked.join(checked(good), F.expr("doc_id = trusted_id"), "left")
     marked = marked.select("text", F.col("trusted_id").isNotNull().alias("good"))
 
     def count(batches):
@@ -84,6 +84,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     raw, target = np.zeros(BUCKETS, np.float64), np.zeros(BUCKETS, np.float64)
     for bucket, n_raw, n_target in counts(docs, labels).toLocalIterator():
         raw[bucket], target[bucket] = n_raw, n_target
+    if not target.any():
+        return np.zeros(BUCKETS, np.int64)
     p = (target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)
     q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
     return np.rint(np.log(p / q) * SCALE).astype(np.int64)
