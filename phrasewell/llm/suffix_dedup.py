@@ -54,8 +54,8 @@ CHUNK = 1 << 18
 RANGE = 1 << 18
 #: Selected sequences in a bucket.
 BUCKET = 1 << 20
-#: Keys from which a level's ranges are chosen, about, whatever the corpus.
-SAMPLE = 200_000
+#: Keys from which a level's ranges are chosen: so many, or some for each range.
+SAMPLE, EACH = 200_000, 8
 _U = np.uint64
 
 
@@ -242,15 +242,16 @@ def _ranges(strings: DataFrame, level: int, n: int) -> np.ndarray:
     wanted = -(-n // RANGE)
     if wanted <= 1:
         return np.zeros(0, _U)
-    step = max(1, n // SAMPLE)
+    step = max(1, n // max(SAMPLE, EACH * wanted))
 
     def some(batches):
         for batch in batches:
-            for codes in batch.column(0).to_pylist():
+            for chunk, codes in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
                 codes = np.frombuffer(codes, _kind(level))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(codes, level, np.arange(step // 2, len(codes), step))[:, 0].view(np.int64))], names=["key"])
+                first = int(V.mix(np.array([chunk], np.int64).view(_U))[0] % _U(step))  # differs by chunk, which may be shorter than a step
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(codes, level, np.arange(first, len(codes), step))[:, 0].view(np.int64))], names=["key"])
 
-    keys = np.sort(strings.select("codes").mapInArrow(some, "key bigint").toPandas()["key"].to_numpy().view(_U))
+    keys = np.sort(strings.select("chunk", "codes").mapInArrow(some, "key bigint").toPandas()["key"].to_numpy().view(_U))
     return np.unique(keys[(np.arange(1, wanted) * len(keys)) // wanted]) if len(keys) else keys
 
 
