@@ -10,8 +10,8 @@ a local alignment (+1 for an equal word, -1 for a replaced, missing or added
 one) confirms within ``BAND`` diagonals around the hits.  Reported are
 alignments that match at least ``MIN_COVERAGE`` of the template's words, with
 their words' span; of overlapping ones of the same template the better.  An
-alignment within one of another template that matches more words is left out: a
-longer licence name isn't the shorter one, too.
+alignment within one of another template that matches more words, or as many and
+covers its template better, is left out: similar names of licences are told apart.
 
 Defined results: null, empty and wordless texts match nothing; a null id is
 reported as null; repeated rows are each reported.  Texts have no length limit.
@@ -144,13 +144,13 @@ def scan(column, ix: Index) -> list[tuple[int, int, int, int, int]]:
                     taken.append((start, end))
                     by.setdefault(k, []).append((t, matched, start, end))
         for k, found in by.items():
-            out += [(k + w.first, *x) for x in found if not any(within(x, y) for y in found)]
+            out += [(k + w.first, *x) for x in found if not any(within(x, y, ix) for y in found)]
     return out
 
 
-def within(x: tuple[int, int, int, int], y: tuple[int, int, int, int]) -> bool:
-    """Whether another template's alignment y covers x's words and matches more of them."""
-    return y[2] <= x[2] and x[3] <= y[3] and y[1] > x[1]
+def within(x: tuple[int, int, int, int], y: tuple[int, int, int, int], ix: Index) -> bool:
+    """Whether another template's alignment y covers x's words and matches more of them, or as many but more of its template."""
+    return y[2] <= x[2] and x[3] <= y[3] and (y[1], -len(ix.words[y[0]])) > (x[1], -len(ix.words[x[0]]))
 
 
 def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
