@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..engine import Index
@@ -48,8 +48,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _key(id: Column) -> Column:
+    """A number as a string that sorts as the number does: equal scores are ordered by id."""
+    return F.lpad(id.cast("string"), 20, "0")
+
+
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    return corpus(spark, sf_dir).select(_key(F.col("doc_id")).alias("doc_id"), F.col("text").alias("content"))
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
@@ -246,7 +251,7 @@ def hydrated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(store(spark, sf_dir).live_documents().where("doc_id = '7'")).select("doc_id", "content")
+    return _ids(store(spark, sf_dir).live_documents().where(F.col("doc_id") == _key(F.lit(7)))).select("doc_id", "content")
 
 
 def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,15 +283,16 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(_key(F.col("doc_id")).alias("doc_id"))
 
 
 def _lifecycle(spark: SparkSession, sf_dir: str) -> Store:
     """Two batches are added, the toxic documents deleted."""
     made = Store(spark, _fresh(spark, "lifecycle"))
     docs = _content(spark, sf_dir)
-    made.append(docs.where("doc_id % 2 = 0"), PLAIN)
-    made.append(docs.where("doc_id % 2 = 1"), PLAIN)
+    even = F.col("doc_id").cast("bigint") % 2 == 0
+    made.append(docs.where(even), PLAIN)
+    made.append(docs.where(~even), PLAIN)
     made.delete(_toxic(spark, sf_dir))
     return made
 
