@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -64,6 +65,12 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to any more, rather than whenever the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The side of a join, to be broadcast if it has at most that many rows; else Spark shuffles both."""
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side

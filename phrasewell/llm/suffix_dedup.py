@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
-from .common import materialize, release
+from .common import materialize, release, tidy
 
 MIN_WORDS = 50
 SEED = 20
@@ -449,14 +449,18 @@ def _suffix_spans(pieces: DataFrame) -> DataFrame:
         if level < LEVELS - 1:
             strings.append(materialize(ranks.groupBy("chunk").applyInArrow(_shorter, _ddl(_STRING)), "names"))
             n = 2 * n // 3
+            ranks = None
+            tidy(pieces.sparkSession)
     for level in reversed(range(LEVELS)):
         mine = strings[level]
         if level:
             mine = mine.select("chunk", "codes")
+        below = ranks
         parts = _joined(mine, ranks).applyInArrow(_ranked_parts(level, level == LEVELS - 1, bounds[level]), _ddl(_PART))
         ranks = materialize(parts.groupBy("bucket").applyInArrow(_merge(level), _ddl(_RANKS)), "ranks")
-        if level:
-            release(mine, strings[level])
+        release(below, *([strings[level]] if level else []))
+        parts = below = None
+        tidy(pieces.sparkSession)
     spans = materialize(_joined(pieces.drop("prints"), ranks).applyInArrow(_spans, _ddl(_SPANS)), "spans")
     release(ranks)
     return spans
@@ -475,6 +479,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     if not sketches.groupBy("id", "h").count().where("count > 1").isEmpty():  # repeated rows
         found = found.dropDuplicates(["id", "h", "first"])
     pieces = materialize(found.mapInArrow(chunks, _ddl(_CHUNK)), "pieces")
+    met = near = found = None
+    tidy(docs.sparkSession)
     spans = _suffix_spans(pieces)
     # Documents with the same words: each is one span, to be removed but for the first.
     members = sketches.select("id", "h", "n_words").distinct()
