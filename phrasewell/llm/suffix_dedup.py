@@ -95,7 +95,7 @@ _MET = _schema(id=pa.int64(), h=pa.int64(), places=pa.binary())
 _REGION = _schema(id=pa.int64(), h=pa.int64(), first=pa.int64(), codes=pa.binary(), prints=pa.binary())
 _CHUNK = _schema(chunk=pa.int64(), codes=pa.binary(), prints=pa.binary(), ids=pa.binary(), hs=pa.binary(), firsts=pa.binary(), at=pa.binary())
 _STRING = _schema(chunk=pa.int64(), codes=pa.binary())
-_PART = _schema(bucket=pa.int64(), chunk=pa.int64(), offs=pa.binary(), keys=pa.binary(), a=pa.binary(), b=pa.binary(), prints=pa.binary(), ids=pa.binary())
+_PART = _schema(bucket=pa.int64(), chunk=pa.int64(), offs=pa.binary(), keys=pa.binary(), a=pa.binary(), b=pa.binary(), prints=pa.binary(), ids=pa.binary(), coarse=pa.binary())
 _RANKS = _schema(chunk=pa.int64(), offs=pa.binary(), ranks=pa.binary())
 _SPANS = _schema(id=pa.int64(), h=pa.int64(), first_word=pa.int64(), n_words=pa.int64(), removable_words=pa.int64())
 
@@ -373,10 +373,13 @@ def _ranked_parts(level: int, last: bool, bounds: np.ndarray):
         if level == 0:
             starts = np.frombuffer(t["at"].to_pylist()[whole], np.int64)
             ids = np.frombuffer(t["ids"].to_pylist()[whole], np.int64)
-            columns += [prints[at], ids[np.searchsorted(starts, at, side="right") - 1]]
+            sums = np.zeros(n + 1, _U)
+            np.cumsum(V.mix(codes.astype(_U)) * V.powers(V.BASE, n), out=sums[1:])
+            coarse = V.sequence_hash(sums, at, at + MIN_WORDS)
+            columns += [prints[at], ids[np.searchsorted(starts, at, side="right") - 1], coarse]
         bucket = np.searchsorted(bounds, range_key, side="right")
         chunk = key[0].as_py()
-        rows = [(b, chunk, *map(_cell, c), *[None] * (6 - len(c))) for b, c in _by_bucket(bucket, *columns)]
+        rows = [(b, chunk, *map(_cell, c), *[None] * (7 - len(c))) for b, c in _by_bucket(bucket, *columns)]
         return _batch(rows, _PART)
 
     return parts
@@ -393,7 +396,12 @@ def _merge(level: int):
             return _back(row, chunk, offs, rank)
         prints, ids = _read(t["prints"], _U)[0][order], _read(t["ids"], np.int64)[0][order]
         row, offs = row[order], offs[order]
-        same = prints[1:] == prints[:-1]
+        # Words may share a code: neighbours alike in their codes are told apart by their words.
+        coarse = _read(t["coarse"], _U)[0][order]
+        alike = np.concatenate(([0], np.cumsum(coarse[1:] != coarse[:-1])))
+        finer = np.lexsort((prints, alike))
+        prints, ids, row, offs, alike = prints[finer], ids[finer], row[finer], offs[finer], alike[finer]
+        same = (prints[1:] == prints[:-1]) & (alike[1:] == alike[:-1])
         run = np.concatenate(([0], np.cumsum(~same)))
         repeated = np.zeros(len(order), bool)
         repeated[1:] |= same

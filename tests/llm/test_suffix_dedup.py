@@ -89,6 +89,20 @@ def test_merge_order_sorts_suffixes():
         assert S.merge_order(np.stack((x[at], x[at + 1]), axis=1).astype(np.uint64), at.astype(np.int32), a, b).tolist() == order
 
 
+def test_passages_that_differ_in_words_of_one_code_are_told_apart():
+    n = 6
+    u = lambda x: [np.array(x, np.uint64).tobytes()]
+    t = pa.table(
+        {
+            "bucket": [0], "chunk": [5], "offs": [np.arange(1, 3 * n, 3, dtype=np.int32).tobytes()], "keys": [np.ones((n, 2), np.int32).tobytes()],
+            "a": u(range(n)), "b": u(range(n)), "prints": u([7, 8, 7, 8, 7, 9]), "ids": [np.arange(n).tobytes()], "coarse": u([3] * n),
+        }
+    )
+    out = S._merge(0)((pa.scalar(0),), t).to_pylist()
+    got = dict(zip(np.frombuffer(out[0]["offs"], np.int32).tolist(), np.frombuffer(out[0]["ranks"], np.uint64).tolist()))
+    assert got == {1: 1, 7: 0, 13: 0, 4: 1, 10: 0}  # 1 marks the first of its passage
+
+
 def test_sequence_hash_doesn_t_depend_on_the_place():
     (w,) = V.slices(pa.array(["x a b c y a b c"]), V.ALNUM)
     sums = V.prefix_sums(w)
