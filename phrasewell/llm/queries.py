@@ -39,7 +39,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
