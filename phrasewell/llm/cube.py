@@ -2,7 +2,9 @@
 
 Each source has a target share of the words.  All documents of a source get the
 same inclusion probability, its target over its words, so that the largest
-total is drawn which no source has to exceed.  The cube method then rounds the
+total is drawn which no source has to exceed, those aside whose targets hardly
+count: the sources that run out first, as long as their shares add up to at
+most ``SLACK``, are taken whole and don't bound the others.  The cube method then rounds the
 probabilities to 0 or 1.  Its flight phase takes a point of three undecided
 documents at a time, finds the direction that leaves the source's expected
 words and expected documents as they are (the null space of the 2 x 3 constraint
@@ -27,12 +29,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checked, free, materialize, release
 
 ALPHA = 0.7
+#: Of the targets, so much in all may be missed by sources that have too few words.
+SLACK = 0.05
 SEED = 20240229
 GROUP = 4096
 _NEAR = 1e-9
@@ -112,8 +116,10 @@ def targets(units: DataFrame, weights: dict[str, float] | None) -> DataFrame:
         by = by.join(given, F.col("s").eqNullSafe(F.col("name")), "left").drop("name")
         weight = F.greatest(F.coalesce("given", F.lit(0.0)), F.lit(0.0))
     by = by.withColumn("weight", F.when(F.col("total") > 0, weight))
-    # The largest total t with t * weight <= words of each source.
-    most = by.agg(F.min(F.when(F.col("weight") > 0, F.col("total") / F.col("weight"))).alias("most"))
+    # The largest total t with t * weight <= words of each source but those of SLACK, which run out first.
+    fill = by.where("weight > 0").select("weight", (F.col("total") / F.col("weight")).alias("fill"))
+    share = F.sum("weight").over(Window.orderBy("fill")) / F.sum("weight").over(Window.partitionBy())
+    most = fill.withColumn("share", share).where(F.col("share") > SLACK).agg(F.min("fill").alias("most"))
     p = F.when(F.col("total") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("most"), F.lit(0.0)) * F.col("weight") / F.col("total")))
     return by.crossJoin(most).select("s", "n_units", p.alias("probability"))
 

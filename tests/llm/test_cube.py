@@ -73,3 +73,10 @@ def test_repeated_rows_go_together(full, prose):
     rows = rows_of(prose, (200, 20))
     kept = [r["doc_id"] for r in C.mix(full(rows + rows)).collect()]
     assert all(kept.count(i) == 2 for i in set(kept))
+
+
+@pytest.mark.parametrize("weights", [None, {"src0": 100.0, "src1": 100.0, "tiny": 1.0}])
+def test_tiny_source_does_not_bound_the_draw(full, prose, weights):
+    rows = rows_of(prose, (300, 300)) + [(9000, "a b", "tiny")]
+    got = [r["doc_id"] for r in C.mixture(full(rows), weights).collect()]
+    assert 9000 in got and len(got) > 0.9 * len(rows)
