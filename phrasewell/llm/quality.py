@@ -7,6 +7,12 @@ corpus, both with ``SMOOTHING`` added to each bucket.  A document's score is the
 mean, over all of its n-grams, of ``ln(trusted / raw)``; it is kept if its score
 is at least the threshold.  There is no sampling and no randomness.
 
+A few toxic words hardly move that mean, so they are looked for apart, learned
+from the labels as well: a word (letters and digits) is toxic if at least
+``TOXIC_SHARE`` of the documents labelled good but toxic have it, ``TOXIC_LEAST``
+at least, and that share is ``TOXIC_RATIO`` times the share of trusted ones, one
+more counted.  A document with a toxic word isn't kept.
+
 Ratios are rounded to multiples of 2**-20 before they are added, so a score is
 one exact integer division, whatever the order of its terms.
 
@@ -33,6 +39,9 @@ PAIR = 0xD6E8FEB86659FD93
 SMOOTHING = 1
 SCALE = 1 << 20
 THRESHOLD = -0.1
+TOXIC_SHARE = 0.1
+TOXIC_LEAST = 3
+TOXIC_RATIO = 20
 
 
 def features(w: V.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +100,59 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.rint(np.log(p / q) * SCALE).astype(np.int64)
 
 
+def _holders(docs: DataFrame, ids: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(h, n): in how many of the documents with these ids (column labelled_id) each word is, or each of only."""
+    some = docs.select("doc_id", "text").where("text is not null").join(checked(ids), F.expr("doc_id = labelled_id"), "left_semi")
+
+    def count(batches):
+        hashes, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for w in V.slices(batch.column(0), V.ALNUM):
+                h, of = w.hash, w.text_of()
+                if only is not None:
+                    among = np.isin(h, only)
+                    h, of = h[among], of[among]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                found, n = np.unique(h[new], return_counts=True)
+                hashes.append(found)
+                numbers.append(n)
+        h, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.bincount(at, np.concatenate(numbers), len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return some.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Hashes of the toxic words."""
+    good = trusted(labels).select(F.col("doc_id").alias("labelled_id"))
+    bad = labels.where("doc_id is not null and quality = 1 and toxic = 1").select(F.col("doc_id").alias("labelled_id")).distinct()
+    bad = bad.join(good, "labelled_id", "left_anti")
+    have = docs.select("doc_id").where("text is not null")
+    n_bad, n_good = (have.join(checked(ids), F.expr("doc_id = labelled_id"), "left_semi").count() for ids in (bad, good))
+    if n_bad < TOXIC_LEAST or not n_good:
+        return np.zeros(0, np.uint64)
+    often = _holders(docs, bad).where(F.col("n") >= max(TOXIC_LEAST, TOXIC_SHARE * n_bad)).collect()
+    n = {r["h"]: r["n"] for r in often}  # at most 1 / TOXIC_SHARE times the words of a document
+    if not n:
+        return np.zeros(0, np.uint64)
+    clean = {r["h"]: r["n"] for r in _holders(docs, good, np.array(sorted(n), np.int64).view(np.uint64)).collect()}
+    out = [h for h, k in n.items() if k / n_bad >= TOXIC_RATIO * (clean.get(h, 0) + 1) / n_good]
+    return np.array(sorted(out), np.int64).view(np.uint64)
+
+
+def has_toxic(array, toxic: np.ndarray) -> np.ndarray:
+    """Whether each text of a column has a toxic word."""
+    out = np.zeros(len(array), bool)
+    if len(toxic):
+        for w in V.slices(array, V.ALNUM):
+            out[w.first + w.text_of()[np.isin(w.hash, toxic)]] = True
+    return out
+
+
 def sums(array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sum of rounded ratios, number of n-grams) of each text of a column."""
     total, size = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
@@ -120,14 +182,28 @@ def scored(docs: DataFrame, ratio: np.ndarray, n_name: str = "n_grams", score_na
     return out.withColumns({n_name: F.col(f"{cell}.n"), score_name: F.col(f"{cell}.score")}).drop(cell)
 
 
+def _clean(docs: DataFrame, labels: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of docs without toxic words, learned from the table of."""
+    toxic = toxic_words(of, labels)
+    if not len(toxic):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(toxic)
+
+    @F.arrow_udf("boolean")
+    def is_toxic(text: pa.Array) -> pa.Array:
+        return pa.array(has_toxic(text, shared.value))
+
+    return docs.where(~is_toxic(F.col("text")))
+
+
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The kept rows of docs, with docs's columns."""
     n, s = free(docs, "quality_n"), free(docs, "quality_score")
-    out = scored(docs, ratios(docs, labels), n, s)
+    out = scored(_clean(docs, labels, docs), ratios(docs, labels), n, s)
     return out.where(F.col(s) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_grams, score) of each kept document."""
-    out = scored(docs.select("doc_id", "text"), ratios(docs, labels))
+    out = scored(_clean(docs.select("doc_id", "text"), labels, docs), ratios(docs, labels))
     return out.where(F.col("score") >= threshold).select("doc_id", "n_grams", F.round("score", 6).alias("score"))

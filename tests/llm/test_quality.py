@@ -72,3 +72,14 @@ def test_held_out_labels(spark):
     junk = [r["doc_id"] for r in held if r["quality"] == 0]
     assert sum(d in kept for d in clean) >= 0.97 * len(clean)
     assert sum(d not in kept for d in junk) >= 0.85 * len(junk)
+
+
+def test_toxic_words_are_learned(documents, full, spark, prose):
+    """Clean prose with one rude word is told apart, labelled or not."""
+    rude = ["Grumbold!", "snarkle", "(zorply)"]
+    text = lambda k: " ".join([prose.text(60), rude[k % 3], prose.text(60)])
+    rows = [(k, prose.text(120)) for k in range(300)] + [(1000 + k, text(k)) for k in range(40)]
+    labels = [(k, 1, 0) for k in range(150)] + [(1000 + k, 1, 1) for k in range(20)]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for kept in (Q.quality_filter(full(rows), table, -9.0), Q.quality_scores(documents(rows), table, -9.0)):
+        assert {r["doc_id"] for r in kept.collect()} == set(range(300))
