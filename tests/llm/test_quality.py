@@ -13,22 +13,54 @@ def features(text):
     return [x >> (64 - Q.BUCKET_BITS) for x in h + pairs]
 
 
-def brute(rows, labels):
+def fold(d):
+    return (d or 0) % 1_000_003 * 2_654_435_761 // 65_536 % Q.FOLDS
+
+
+def kinds(labels):
     good = {d for d, q, t in labels if d is not None and q == 1 and t == 0}
-    raw, target = [0] * Q.BUCKETS, [0] * Q.BUCKETS
+    return good, {d for d, q, t in labels if d is not None and q == 0} - good
+
+
+def scores(rows, labels):
+    """(id, n-grams, score) of each row with n-grams, trusted n-grams of its id's fold left out."""
+    good, _ = kinds(labels)
+    raw, target = [0] * Q.BUCKETS, [[0] * Q.BUCKETS for _ in range(Q.FOLDS)]
     for d, text in rows:
         for b in features(text or ""):
             raw[b] += 1
-            target[b] += d in good
-    n, m = sum(raw) + Q.BUCKETS, sum(target) + Q.BUCKETS
+            for f in range(Q.FOLDS):
+                target[f][b] += d in good and fold(d) != f
+    n, m = sum(raw) + Q.BUCKETS, [sum(t) + Q.BUCKETS for t in target]
+    told = any(map(any, target))
     out = []
     for d, text in rows:
-        f = features(text or "")
+        f, t = features(text or ""), fold(d)
         if f:
-            out.append((d, len(f), sum(round(math.log((target[b] + 1) / m / ((raw[b] + 1) / n)) * Q.SCALE) for b in f) / len(f) / Q.SCALE))
+            each = [round(math.log((target[t][b] + 1) / m[t] / ((raw[b] + 1) / n)) * Q.SCALE) if told else 0 for b in f]
+            out.append((d, len(f), sum(each) / len(f) / Q.SCALE))
     return out
 
 
+def threshold(found, labels):
+    """By trying every step."""
+    clean, bad = ([math.floor(s * Q.STEPS) for d, _, s in found if d in of] for of in kinds(labels))
+    best = []
+    for t in range(min(clean + bad), max(clean + bad) + 2):
+        lost, dropped = sum(x < t for x in clean), sum(x < t for x in bad)
+        if lost <= (1 - Q.KEEP) * len(clean) + 1e-9:
+            best.append((len(clean) * dropped - Q.COST * len(bad) * lost, t))
+    best = [t for gain, t in best if gain == max(best)[0]] if bad else [max(best, key=lambda x: x[1])[1]]
+    return best[(len(best) - 1) // 2] / Q.STEPS
+
+
+def brute(rows, labels):
+    """The kept rows, toxic words aside."""
+    found = scores(rows, labels)
+    least = threshold(found, labels)
+    return [x for x in found if x[2] >= least]
+
+
 @pytest.fixture
 def corpus(prose, odd):
     rows = odd + [(100 + k, prose.text(80)) for k in range(30)] + [(200 + k, "junk spam " * 30) for k in range(5)]
@@ -39,7 +71,7 @@ def corpus(prose, odd):
 def test_scores_equal_brute_force(spark, documents, corpus):
     rows, labels = corpus
     docs, table = documents(rows, clashing=True), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    want = sorted(((d, n, round(s, 6)) for d, n, s in brute(rows, labels) if s >= Q.THRESHOLD), key=str)
+    want = sorted(((d, n, round(s, 6)) for d, n, s in brute(rows, labels)), key=str)
     got = sorted(map(tuple, Q.quality_scores(docs.select("doc_id", "text", "score"), table).collect()), key=str)
     assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
     assert not any(d and 200 <= d < 205 for d, _, _ in got) and {100 + k for k in range(30)} <= {d for d, _, _ in got}
