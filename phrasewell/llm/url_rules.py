@@ -7,22 +7,28 @@ document's labels has quality 0 or toxic 1.  FP-growth finds the token
 combinations that occur together with the bad label in at least ``MIN_SUPPORT``
 of the transactions (and ``MIN_COUNT`` times); those become rules if the share
 of bad pages among the pages with the combination (confidence) is at least
-``MIN_CONFIDENCE`` and ``MIN_LIFT`` times the overall share.  A rule goes if a
-more general one has at least its confidence.  Rules are indexed under their
+``MIN_CONFIDENCE`` and ``MIN_LIFT`` times the overall share, and if it isn't by
+chance above the overall share: the lower end of Wilson's interval, ``CERTAIN``
+standard deviations down, must exceed it.  A rule goes if a more general one has
+at least its confidence.  Rules are indexed under their
 rarest token; a page meets the rules of its tokens there, and a rule matches if
 the page has all of its tokens.  Every page gets a verdict.
 
 Defined results: null and empty URLs have no tokens and match nothing; labels
 with a null id and pages without a document's number take no part in mining; a
-repeated page row is a transaction, and a result, of its own.  Without labelled
-pages there are no rules and no page is blocked.  Where URLs tell nothing about
-labels, no rule passes, and that is the result.
+repeated page row is a transaction, and a result, of its own.  A very long URL
+counts with all its tokens.  Of the rules that match a page the one with the
+highest confidence is reported, of equal ones that with more bad pages, then the
+first by its tokens.  Without labelled pages there are no rules and no page is
+blocked; without pages there are no rows.  Where URLs tell nothing about labels,
+no rule passes, and that is the result.  Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release
@@ -31,6 +37,7 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.35
 MIN_LIFT = 1.2
+CERTAIN = 4.0
 #: Holds a space, so it can't be a token.
 BAD = "label bad"
 
@@ -55,6 +62,13 @@ def transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return shown.join(by, F.expr("shown_id = label_id")).select("tokens", "bad")
 
 
+def surely(confidence: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval of a share of n."""
+    z2 = CERTAIN * CERTAIN
+    spread = CERTAIN * F.sqrt(confidence * (1.0 - confidence) / n + z2 / (4.0 * n * n))
+    return (confidence + z2 / (2.0 * n) - spread) / (1.0 + z2 / n)
+
+
 def rules(labelled: DataFrame) -> DataFrame:
     """(rule, confidence, n_bad, size, rarest) from transactions."""
     spark = labelled.sparkSession
@@ -71,6 +85,7 @@ def rules(labelled: DataFrame) -> DataFrame:
             model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
             .where(F.col("confidence") >= MIN_LIFT * n_bad / n)
             .select(F.array_sort("antecedent").alias("rule"), "confidence", F.round(F.col("support") * n).cast("bigint").alias("n_bad"))
+            .where(surely(F.col("confidence"), F.round(F.col("n_bad") / F.col("confidence"))) > n_bad / n)
         )
     found = materialize(found, "rules")
     general = found.select(F.col("rule").alias("g"), F.col("confidence").alias("gc"))

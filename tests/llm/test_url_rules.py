@@ -32,7 +32,9 @@ def brute(pages, labels):
     found = {}
     for c in every:
         hit = [b for items, b in rows if items >= set(c)]
-        if sum(hit) >= max(U.MIN_COUNT, U.MIN_SUPPORT * n) and sum(hit) / len(hit) >= max(U.MIN_CONFIDENCE, U.MIN_LIFT * n_bad / n):
+        share, z = sum(hit) / len(hit), U.CERTAIN
+        low = (share + z * z / (2 * len(hit)) - z * (share * (1 - share) / len(hit) + z * z / (4 * len(hit) ** 2)) ** 0.5) / (1 + z * z / len(hit))
+        if low > n_bad / n and sum(hit) >= max(U.MIN_COUNT, U.MIN_SUPPORT * n) and sum(hit) / len(hit) >= max(U.MIN_CONFIDENCE, U.MIN_LIFT * n_bad / n):
             found[c] = (sum(hit) / len(hit), sum(hit))
     kept = {c: v for c, v in found.items() if not any(set(g) < set(c) and w[0] >= v[0] for g, w in found.items())}
     out = []
@@ -52,7 +54,7 @@ def tables(prose):
         pages.append((1000 + k, f"http://{host}/{path}/{k}" + prose.rng.choice(["", ".html", "/", "?ref=x", "#top"]), ""))
         wrong = "casino" in host and "win" in path or prose.rng.random() < 0.1
         labels.append((k, 0 if wrong else 1, 0))
-    pages += [(None, "http://casino.example.com/win/1", ""), (5, None, None), (6, "", ""), (7, "not a url", ""), pages[0], pages[0]]
+    pages += [(None, "http://casino.example.com/win/1", ""), (5, None, None), (6, "", ""), (8, "http://casino.example.com/win/" + "x" * 100_000 + "/y" * 50_000, ""), (7, "not a url", ""), pages[0], pages[0]]
     labels += [(None, 0, 0), (3, None, None), (5, 1, 1), (5, 1, 0)]
     return pages, labels
 
@@ -64,6 +66,31 @@ def test_verdicts_equal_brute_force(spark, documents, tables):
     assert got == brute(pages, labels) and sum(r[2] for r in got) > 10
 
 
+def test_planted_rules_at_scale(spark):
+    """Among 40,000 pages of 100 hosts the planted combinations are found; of other pages, whose single tokens are a little suspicious, few are blocked."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    pages = spark.range(n).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("http://h"), F.abs(F.xxhash64("id")) % 100, F.lit(".example.com/"), F.element_at(F.array(*map(F.lit, ["en", *["win"] * 4, *["free"] * 4, "win/free"])), (F.abs(F.xxhash64("id", F.lit(1))) % 10 + 1).cast("int")), F.lit("/"), F.col("id")).alias("url"),
+    )
+    planted = F.col("url").rlike("/win/free/") | F.col("url").rlike("//h(7|70)[.]")
+    wrong = (F.abs(F.xxhash64("id", F.lit(2))) % 100) < F.when(planted, 80).otherwise(20)
+    labels = pages.select(F.col("page_id").alias("id"), "url").select(F.col("id").alias("doc_id"), F.when(wrong, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = U.url_filter(pages, labels).select(planted.alias("planted"), "blocked", "rule").groupBy("planted", "blocked").count().collect()
+    count = {(r["planted"], r["blocked"]): r["count"] for r in got}
+    assert count[True, True] > 3_500 and not count.get((True, False)) and count.get((False, True), 0) <= 0.01 * n
+
+
+def test_ties_are_decided(spark, documents):
+    """Two rules of equal confidence and count: the first by its tokens is reported."""
+    pages = [(k, f"http://b.a/{'q/z' if k < 20 else 'x'}/{k}", "") for k in range(60)]
+    labels = [(k, 0 if k < 20 else 1, 0) for k in range(60)]
+    got = U.url_filter(documents(pages, PAGE), spark.createDataFrame(labels, LABEL)).where("blocked").collect()
+    assert {(r["rule"], r["n_rules"], r["confidence"]) for r in got} == {("q", 2, 1.0)} and len(got) == 20
+
+
 def test_without_labels_or_pages(spark, documents, tables):
     none = spark.createDataFrame([], LABEL)
     got = U.url_filter(documents(tables[0], PAGE), none).collect()
