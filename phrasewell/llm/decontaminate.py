@@ -9,14 +9,21 @@ Along that shift the overlap is verified: the best segment, counting +1 for an
 equal word and -2 for a replaced one.  A document is contaminated if a segment
 reaches ``MIN_SCORE``, or 60 % of the item's words if that is less.
 
+Items with fewer words than the longest mask spans (``SPAN``) have no seeds:
+they are looked for as they are, all their words one after the other.  Fewer
+than ``SHORTEST`` words ("what is it") are no evidence of anything.
+
 The benchmark's seeds are broadcast in parts of at most ``SEEDS_AT_ONCE``; a
 larger benchmark takes several passes over the documents, so nothing grows
 beyond that size in the driver or in a worker.
 
 Defined results: null, empty and wordless texts are never contaminated; items
-with a null text or with fewer words than the longest mask spans (``SPAN``) are
-too short to be evidence and are not searched.  Repeated items or documents are
-each reported.  A null doc_id or item_id is reported as null.
+with a null text or fewer than ``SHORTEST`` words are not searched.  A very long
+text is searched whole.  Of equally good segments of a document and an item the
+first is reported, of those the shortest.  Repeated items or documents are each
+reported.  A null doc_id or item_id is reported as null.  Without documents or
+without items there are no rows, and the filter keeps all.  Extra columns are
+kept by the filter and ignored else, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +42,13 @@ from .common import free, union_all
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1101110011", "111010010111", "110010111011")
 SPAN = max(map(len, MASKS))
+SHORTEST = 4
 MIN_SCORE = 10
 MIN_SHARE = 0.6
 MISMATCH = -2
 SEEDS_AT_ONCE = 4_000_000
-_FILTER_BITS = 20
+#: Bits of a hash that the filter before the search looks at, at least and at most.
+_FILTER_BITS = 16, 25
 
 
 def seeds(w: V.Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -71,10 +80,24 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    short_hash: np.ndarray  #: of the first SHORTEST words of items without seeds, sorted
+    short_item: np.ndarray
+
+
+def _filter(h: np.ndarray) -> np.ndarray:
+    """Which leading bits some hash has: at least eight times as many values as hashes, within limits."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, 8 * len(h)))), *_FILTER_BITS))
+    out = np.zeros(1 << bits, bool)
+    out[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return out
+
+
+def _maybe(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return known[(h >> np.uint64(65 - len(known).bit_length())).astype(np.int64)]
 
 
 def index(texts: pa.Array) -> Items:
-    words, sizes, hashes, items, places = [], [], [], [], []
+    words, sizes, hashes, items, places, short_hashes, short_items = [], [], [], [], [], [], []
     for w in V.slices(texts, V.ALNUM):
         n = w.counts()
         words.append(w.hash)
@@ -85,13 +108,18 @@ def index(texts: pa.Array) -> Items:
             hashes.append(h[long])
             items.append((owner + w.first)[long])
             places.append((at - w.bounds[owner])[long])
+        some = np.flatnonzero((n >= SHORTEST) & (n < SPAN))
+        if len(some):
+            short_hashes.append(V.grams(w, SHORTEST)[0][w.bounds[some]])
+            short_items.append(some + w.first)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     h = join(hashes, np.uint64)
     order = np.argsort(h, kind="stable")
-    maybe = np.zeros(1 << _FILTER_BITS, bool)
-    maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+    short = join(short_hashes, np.uint64)
+    by = np.argsort(short, kind="stable")
     bounds = np.concatenate(([0], np.cumsum(join(sizes, np.int64))))
-    return Items(join(words, np.uint64), bounds, h[order], join(items, np.int64)[order], join(places, np.int64)[order], maybe)
+    of, at = join(items, np.int64)[order], join(places, np.int64)[order]
+    return Items(join(words, np.uint64), bounds, h[order], of, at, _filter(h), short[by], join(short_items, np.int64)[by])
 
 
 def _segment(equal: np.ndarray) -> tuple[int, int, int]:
@@ -109,26 +137,41 @@ def _segment(equal: np.ndarray) -> tuple[int, int, int]:
     return best, best_at[0], best_at[1]
 
 
+def _met(known: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, index among the sorted known hashes) of each pair of equal hashes."""
+    lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
+    n = hi - lo
+    return np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _short(w: V.Words, items: Items):
+    """(text, item, first word) of each place where a whole short item stands."""
+    if not len(items.short_hash):
+        return
+    h, valid = V.grams(w, SHORTEST)
+    at = np.flatnonzero(valid)
+    at, pick = _met(items.short_hash, at, h[at])
+    text = np.searchsorted(w.bounds, at, side="right") - 1
+    for place, k, item in zip(at.tolist(), text.tolist(), items.short_item[pick].tolist()):
+        theirs = items.words[items.bounds[item] : items.bounds[item + 1]]
+        if place + len(theirs) <= w.bounds[k + 1] and (w.hash[place : place + len(theirs)] == theirs).all():
+            yield k, item, int(place - w.bounds[k])
+
+
 def overlaps(column, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word in the text, words, score) of the verified overlaps, best for each text and item."""
     out = []
-    if not len(items.hash):
-        return out
-    shift = np.uint64(64 - _FILTER_BITS)
     for w in V.slices(column, V.ALNUM):
-        found = []
-        for at, h in seeds(w):
-            some = np.flatnonzero(items.maybe[(h >> shift).astype(np.int64)])
-            at, h = at[some], h[some]
-            lo, hi = np.searchsorted(items.hash, h), np.searchsorted(items.hash, h, side="right")
-            n = hi - lo
-            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
+        found = [np.zeros((0, 3), np.int64)]
+        for at, h in seeds(w) if len(items.hash) else ():
+            some = np.flatnonzero(_maybe(items.maybe, h))
+            at, pick = _met(items.hash, at[some], h[some])
             text = np.searchsorted(w.bounds, at, side="right") - 1
             found.append(np.stack([text, items.item[pick], at - w.bounds[text] - items.place[pick]], axis=1))
-        if not found:
-            continue
         best: dict[tuple[int, int], tuple] = {}
+        for text, item, first in _short(w, items):
+            n = int(items.bounds[item + 1] - items.bounds[item])
+            best[text, item] = min(best.get((text, item), (-n, first, n)), (-n, first, n))
         for text, item, moved in np.unique(np.concatenate(found), axis=0).tolist():
             theirs = items.words[items.bounds[item] : items.bounds[item + 1]]
             mine = w.hash[w.bounds[text] : w.bounds[text + 1]]
