@@ -5,20 +5,27 @@ The templates' ``GRAM``-word sequences are hashed and winnowed: of every
 ``WINDOW`` neighbouring ones the least is a fingerprint; a template of at most
 ``SHORT`` words keeps all.  An inverted index leads from a fingerprint to the
 templates and places that have it.  Every word sequence of a document is looked
-up there.  Hits of a template on neighbouring diagonals make a candidate, which
-a local alignment (+1 for an equal word, -1 for a replaced, missing or added
-one) confirms within ``BAND`` diagonals around the hits.  Reported are
-alignments that match at least ``MIN_COVERAGE`` of the template's words, with
-their words' span; of overlapping ones of the same template the better.  An
+up there.  Hits of a template on neighbouring diagonals make a candidate (of at
+most ``WIDEST`` diagonals: notices may follow each other without end), which a
+local alignment (+1 for an equal word, -1 for a replaced, missing or added one)
+confirms within ``BAND`` diagonals around the hits.  What lies before and after
+a confirmed alignment is aligned again, until nothing covers enough: every
+notice is found, also one right after another.  Reported are alignments that
+match at least ``MIN_COVERAGE`` of the template's words, with their words'
+span; of overlapping ones of the same template the better.  An
 alignment within one of another template that matches more words, or as many and
 covers its template better, is left out: similar names of licences are told apart.
 
 Defined results: null, empty and wordless texts match nothing; a null id is
 reported as null; repeated rows are each reported.  Texts have no length limit.
+Of equally good alignments that overlap the first is reported; templates that
+match the same words equally well are all reported.  An empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect, bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +40,7 @@ GRAM = 3
 WINDOW = 4
 SHORT = 16
 BAND = 6
+WIDEST = 24
 MIN_COVERAGE = 0.7
 _FILTER_BITS = 16
 
@@ -109,6 +117,24 @@ def align(template: np.ndarray, text: np.ndarray, low: int | None = None, high:
     return best[0], best[1], best[3], -best[2]
 
 
+def alignments(template: np.ndarray, text: np.ndarray, low: int | None = None, high: int | None = None) -> list[tuple[int, int, int, int]]:
+    """All alignments of align() that cover enough: the best, then those of the text before and after it."""
+    low = -len(template) if low is None else low
+    high = len(text) if high is None else high
+    least, out, work = MIN_COVERAGE * len(template), [], [(0, len(text))]
+    while work:
+        a, b = work.pop()
+        # Only the words that these diagonals reach.
+        a, b = max(a, low), min(b, high + len(template))
+        if b - a < least:
+            continue
+        score, matched, start, end = align(template, text[a:b], low - a, high - a)
+        if matched >= least:
+            out.append((score, matched, a + start, a + end))
+            work += [(a, a + start), (a + end, b)]
+    return out
+
+
 def scan(column, ix: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, template, matched words, first word, end) of the alignments that cover enough."""
     out = []
@@ -126,25 +152,47 @@ def scan(column, ix: Index) -> list[tuple[int, int, int, int, int]]:
         hits = np.unique(np.stack([text, ix.template[pick], at - w.bounds[text] - ix.place[pick]], axis=1), axis=0)
         new = np.ones(len(hits), bool)
         new[1:] = (np.diff(hits[:, :2], axis=0) != 0).any(axis=1) | (np.diff(hits[:, 2]) > BAND)
+        # Longer chains of diagonals are cut.
+        head = np.repeat(hits[new, 2], np.diff(np.append(np.flatnonzero(new), len(hits))))
+        piece = (hits[:, 2] - head) // WIDEST
+        new[1:] |= np.diff(piece) != 0
         starts = np.append(np.flatnonzero(new), len(hits))
         rows: dict[tuple[int, int], list] = {}
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             k, t = int(hits[a, 0]), int(hits[a, 1])
             mine, low, high = w.hash[w.bounds[k] : w.bounds[k + 1]], int(hits[a, 2]) - BAND, int(hits[b - 1, 2]) + BAND
-            # Only the words that these diagonals reach.
-            first, last = max(0, low), min(len(mine), high + len(ix.words[t]))
-            score, matched, start, end = align(ix.words[t], mine[first:last], low - first, high - first)
-            if matched >= MIN_COVERAGE * len(ix.words[t]):
-                rows.setdefault((k, t), []).append((-score, start + first, end + first, matched))
+            for score, matched, start, end in alignments(ix.words[t], mine, low, high):
+                rows.setdefault((k, t), []).append((-score, start, end, matched))
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for (k, t), found in rows.items():
-            taken: list[tuple[int, int]] = []
-            for _, start, end, matched in sorted(found):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
-                    by.setdefault(k, []).append((t, matched, start, end))
+            for _, start, end, matched in apart(found):
+                by.setdefault(k, []).append((t, matched, start, end))
         for k, found in by.items():
-            out += [(k + w.first, *x) for x in found if not any(within(x, y, ix) for y in found)]
+            out += [(k + w.first, *x) for x in outermost(found, ix)]
+    return out
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of alignments (-score, start, end, matched) that overlap, the better."""
+    starts: list[int] = []
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for x in sorted(found):
+        k = bisect(starts, x[1])
+        if (k == 0 or out[starts[k - 1]][2] <= x[1]) and (k == len(starts) or starts[k] >= x[2]):
+            starts.insert(k, x[1])
+            out[x[1]] = x
+    return list(out.values())
+
+
+def outermost(found: list[tuple[int, int, int, int]], ix: Index) -> list[tuple[int, int, int, int]]:
+    """Alignments (template, matched, start, end) that are not within a better one; only neighbours can be."""
+    found = sorted(found, key=lambda x: x[2])
+    starts, longest = [x[2] for x in found], max(x[3] - x[2] for x in found)
+    out = []
+    for x in found:
+        near = found[bisect_left(starts, x[2] - longest) : bisect(starts, x[2])]
+        if not any(within(x, y, ix) for y in near):
+            out.append(x)
     return out
 
 

@@ -7,15 +7,22 @@ from phrasewell.llm.license_templates import TEMPLATES
 
 
 def brute(text):
-    """{(template, matched, first, end)}: the best alignment of each template, all diagonals searched."""
+    """{(template, matched, first, end)}: the best alignment of each template, all diagonals searched, then again before and after it."""
     ix, words = L.index(), alnum(text)
     codes, out = {w: k for k, w in enumerate(words)}, set()
     mine = np.array([codes[w] for w in words], np.int64)
     for t, (_, body) in enumerate(TEMPLATES):
         theirs = np.array([codes.get(w, -1) for w in alnum(body)], np.int64)
-        _, matched, start, end = L.align(theirs, mine)
-        if matched >= L.MIN_COVERAGE * len(theirs):
-            out.add((t, matched, start, end))
+        work = [(0, len(mine))]
+        while work:
+            a, b = work.pop()
+            # A stretch without any of the template's words can't be part of an alignment.
+            if np.isin(mine[a:b], theirs).sum() < L.MIN_COVERAGE * len(theirs):
+                continue
+            _, matched, start, end = L.align(theirs, mine[a:b])
+            if matched >= L.MIN_COVERAGE * len(theirs):
+                out.add((t, matched, a + start, a + end))
+                work += [(a, a + start), (a + end, b)]
     return {x for x in out if not any(L.within(x, y, ix) for y in out)}
 
 
@@ -33,7 +40,7 @@ def texts(prose):
 
 
 def test_matches_equal_full_alignment(documents, prose, odd):
-    rows = texts(prose) + [r for r in odd if r[0] != 5] + [(300 + k, prose.text(200)) for k in range(20)]
+    rows = texts(prose) + odd + [(300 + k, prose.text(200)) for k in range(20)]
     got = L.license_spans(documents(rows, clashing=True)).collect()
     by = {}
     for r in got:
@@ -51,6 +58,16 @@ def test_every_notice_of_a_long_text_is_found(documents, prose):
     assert got.groupBy("doc_id").count().orderBy("doc_id").collect() == [(None, 1), (1, 8)]
 
 
+def test_notices_one_after_another(documents):
+    a, b, c = "All rights reserved. ", "Copyright X. All rights reserved. ", "Released under the MIT License.\n"
+    rows = [(1, a * 3), (2, a + b), (3, c * 2), (4, a * 5000), (5, f"{c}Licensed under CC BY 4.0. {c}"), (6, "All rights All rights reserved. rights reserved.")]
+    got = L.license_spans(documents(rows)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 3, 2: 2, 3: 2, 4: 5000, 5: 3, 6: len(brute(rows[5][1]))}
+    for _, text in rows[:3] + rows[4:]:
+        found = {tuple(x[1:]) for x in L.scan(pa.array([text]), L.index())}
+        assert found == brute(text)
+
+
 def test_empty(documents):
     assert L.license_spans(documents([])).collect() == []
 
