@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import MissingDocumentError, MissingIndexError
+from .errors import DocumentIdError, MissingDocumentError, MissingIndexError
 from .plans import search as plans
 from .sources import ulid
 from .sources.config import Config
@@ -33,10 +33,15 @@ class Result:
 class Index:
     """A full-text index in a directory, opened or created.
 
-    add() and delete() are buffered; they are written by flush(), when a session
-    ends, when the buffer is large or old enough, and before anything is read.
+    add() and delete() are buffered; they are written by flush() and when a
+    session ends.  Added documents are also written when the buffer is large or
+    old enough, and before anything is read.  Deleted ones are hidden at once;
+    that they leave the counts (which scores depend on) waits until flush(), or
+    until they are more than ``PURGE_LEAST`` and ``PURGE_SHARE`` of all.
     """
 
+    PURGE_LEAST, PURGE_SHARE = 1000, 0.05
+
     def __init__(self, spark: SparkSession, dir: str, conf: str | None = None) -> None:
         self.spark = spark
         self.config = Config.load(conf)
@@ -62,11 +67,22 @@ class Index:
         id = self._ids.next()
         self._added.append((id, document))
         self._chars += len(document)
-        old = time.monotonic() - self._since > self.config.documents_save_after_seconds
-        if self._chars > self.config.documents_buffer_size and old or self._chars > 64 * self.config.documents_buffer_size:
-            self.flush()
+        if self._chars > self.config.documents_buffer_size or time.monotonic() - self._since > self.config.documents_save_after_seconds:
+            self._write_added()
         return id
 
+    def _id(self, id: str) -> str:
+        """An id in its usual form; an index that holds its callers' own ids takes any."""
+        try:
+            return ulid.check(id)
+        except DocumentIdError:
+            if self.store.manifest["own_ids"]:
+                return id
+            self.store.refresh()
+            if self.store.manifest["own_ids"]:
+                return id
+            raise
+
     def add_documents(self, docs: DataFrame, content: str = "content", id_col: str | None = None) -> DataFrame:
         """Add a table of documents as one batch; returns their (doc_id, content).
 
@@ -74,17 +90,23 @@ class Index:
         the rows' places in the table.
         """
         self.flush()
-        if id_col is None:
+        own = id_col is not None
+        if not own:
             number = F.monotonically_increasing_id()
             id = ulid.column(number, int.from_bytes(os.urandom(2)), int(time.time() * 1000))
         else:
             id = F.col(id_col).cast("string")
-        batch = self.store.append(docs.select(id.alias("doc_id"), F.col(content).alias("content")), self.analyzer)
+        batch = self.store.append(docs.select(id.alias("doc_id"), F.col(content).alias("content")), self.analyzer, own)
+        if batch not in self.store.batches():  # joined with others by now
+            return self.store.live_documents().join(docs.select(id.alias("doc_id")), "doc_id", "left_semi")
         return self.store.table("documents", [batch])
 
     def delete(self, id: str) -> bool:
         """Delete a document; true, whether or not it exists."""
-        self._deleted.append(ulid.check(id))
+        self._deleted.append(self._id(id))
+        docs = sum(b["docs"] - b["deleted"] for b in self.store.manifest["batches"]) + len(self._added)
+        if len(self._deleted) > max(self.PURGE_LEAST, self.PURGE_SHARE * docs):
+            self.flush()
         return True
 
     def delete_documents(self, ids: DataFrame) -> int:
@@ -94,30 +116,34 @@ class Index:
 
     def get(self, id: str) -> Document:
         """A document by its id."""
-        key = ulid.check(id)
-        self.flush()
-        row = self.store.live_documents().where(F.col("doc_id") == key).first()
-        if row is None:
+        key = self._id(id)
+        self._write_added()
+        self.store.refresh()
+        content = None if key in self._deleted else self.store.get(key)
+        if content is None:
             raise MissingDocumentError(id)
-        return Document(row["doc_id"], row["content"])
+        return Document(key, content)
 
-    def flush(self) -> None:
-        """Write what is buffered."""
+    def _write_added(self) -> None:
         added, self._added, self._chars = self._added, [], 0
-        deleted, self._deleted = self._deleted, []
         if added:
             self.store.append(self.spark.createDataFrame(added, "doc_id string, content string"), self.analyzer)
+
+    def flush(self) -> None:
+        """Write what is buffered."""
+        self._write_added()
+        deleted, self._deleted = self._deleted, []
         if deleted:
             self.store.delete(self.spark.createDataFrame([(d,) for d in deleted], "doc_id string"))
 
     def merge(self) -> int:
-        """Rewrite the batches with many deleted documents; returns how many there were."""
+        """Rewrite the batches with many deleted documents, and join small ones; returns how many had so many."""
         self.flush()
         return self.store.merge(self.config.merge_deleted_ratio, self.analyzer)
 
     def tables(self) -> plans.Tables:
-        self.flush()
-        return self.store.tables()
+        self._write_added()
+        return self.store.tables(self._deleted)
 
     def search_df(self, query: str, top_k: int = 0) -> DataFrame:
         """(doc_id, score) of a query's matches; of equal scores the smaller id comes first."""
@@ -127,7 +153,7 @@ class Index:
         """A query's matches with their documents, best first; top_k 0 gives all."""
         tables = self.tables()
         ranked = plans.search(self.spark, tables, query, self.analyzer, top_k)
-        rows = plans.hydrate(ranked, tables.documents).collect()
+        rows = plans.hydrate(ranked, tables.documents, top_k).collect()
         return [Result(r["score"], Document(r["doc_id"], r["content"])) for r in rows]
 
     def search_many(self, queries: dict[str, str] | list[str], top_k: int = 0) -> DataFrame:
@@ -136,13 +162,17 @@ class Index:
             queries = {q: q for q in queries}
         return plans.search_many(self.spark, self.tables(), queries, self.analyzer, top_k)
 
+    def search_texts(self, texts: DataFrame, id_col: str = "id", text_col: str = "text", slop: int = 0) -> DataFrame:
+        """(query_id, doc_id, score): each text of a table as an exact phrase; the texts never reach the driver."""
+        return plans.phrases(self.spark, self.tables(), texts, id_col, text_col, slop, self.analyzer)
+
     def fuzzy(self, word: str, fuzz: int) -> DataFrame:
         """(token, df, distance): the vocabulary within an edit distance of a word."""
-        from .operators.expand import expand, terms_table
+        from .operators.expand import expand, looked_up, terms_table
         from .plans.query import Query, Term
 
-        terms = terms_table(self.spark, {word: Query((Term(word, fuzz),))})
-        return expand(terms, self.tables().vocab).select("token", "df", "distance")
+        query = {word: Query((Term(word, fuzz),))}
+        return expand(terms_table(self.spark, query), looked_up(self.tables().vocab, query)).select("token", "df", "distance")
 
 
 class PhraseSearch:

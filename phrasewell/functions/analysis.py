@@ -5,24 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .stemmer import stem_column
+from .stemmer import stem
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STOP_WORDS = frozenset(
     "a and are as at be but by for if in into is it no not of on or s such t that the their then there these they "
     "this to was will with www".split()
 )
-_A, _N = r"\p{L}\p{M}*", r"\p{Nd}"
-#: Ideographs and hiragana are words of one character; other letters and digits join up.
-_SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
-_LETTER = rf"(?:(?!{_SINGLE})\p{{L}})\p{{M}}*"
-_JOINED = rf"(?:{_LETTER}(?:['’.·:]{_LETTER})+|{_N}(?:['’.,;]{_N})+|{_LETTER}|{_N}|_)+"
-WORD_PATTERN = rf"{_SINGLE}\p{{M}}*|{_JOINED}|[\p{{No}}\p{{Nl}}]"
-#: The same words for text without ideographs, in the dialect that lacks lookaround.
-PLAIN_PATTERN = rf"(?:{_A}(?:['’.·:]{_A})+|{_N}(?:['’.,;]{_N})+|{_A}|{_N}|_)+"
+#: Word boundaries as Unicode's annex 29 has them.  What extends a character stays with it.
+_E = r"\p{M}\p{Cf}&&[^\x{200B}]"
+_SINGLES = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}"
+_KANA = r"\p{IsKatakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}"
+#: Letters that join up: not ideographs, hiragana and the scripts of South East Asia, which are words of one character, nor katakana.
+_L = rf"[\p{{L}}\p{{Nl}}&&[^{_SINGLES}{_KANA}]]"
+#: Most letters and digits, in plain ranges that are matched fast.
+_FAST_LETTER = r"a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
+_LETTER = rf"(?:[{_FAST_LETTER}]|{_L})"
+_MORE = rf"(?:[0-9{_FAST_LETTER}]++|[{_L}\p{{Nd}}[{_E}]]++)"
+_MID_LETTER = r"['.:\x{B7}\x{387}\x{55F}\x{5F4}\x{2018}\x{2019}\x{2024}\x{2027}\x{FE13}\x{FE52}\x{FE55}\x{FF07}\x{FF0E}\x{FF1A}]"
+_MID_DIGIT = r"['.,;\x{37E}\x{589}\x{60C}\x{60D}\x{66C}\x{7F8}\x{2018}\x{2019}\x{2024}\x{2044}\x{FE10}\x{FE14}\x{FE50}\x{FE52}\x{FE54}\x{FF07}\x{FF0C}\x{FF0E}\x{FF1B}]"
+_JOIN = (
+    rf"(?! )(?:{_MID_LETTER}(?<={_LETTER}[{_E}]{{0,8}}.)[{_E}]*+(?={_LETTER})|{_MID_DIGIT}(?<=\p{{Nd}}[{_E}]{{0,8}}.)[{_E}]*+(?=\p{{Nd}}))"
+)
+_RUN = rf"(?:[0-9{_FAST_LETTER}]|[{_L}\p{{Nd}}]){_MORE}*+(?:{_JOIN}{_MORE}++)*+"
+_KANA_RUN = rf"[{_KANA}][{_KANA}[{_E}]]*+"
+_LINK = rf"\p{{Pc}}[\p{{Pc}}[{_E}]]*+"
+#: What begins no word is passed over fast.  All loops are possessive: they neither back up nor recurse, however long a word is.
+WORD_PATTERN = (
+    rf"(?![\x00-/:-\x{{5E}}`\x7B-\x{{A9}}])(?:(?:(?<!\p{{Pc}}){_LINK})?+(?:{_RUN}|{_KANA_RUN})(?:(?! ){_LINK}(?:{_RUN}|{_KANA_RUN}))*+(?:(?! ){_LINK})?+"
+    rf"|[{_SINGLES}&&[\p{{L}}\p{{N}}]][{_E}]*+|[\p{{L}}\p{{N}}][{_E}]*+)"
+)
+#: The same for lower-cased ASCII text.
+ASCII_PATTERN = (
+    r"(?:(?<!_)_++)?+[a-z0-9]++(?:(?! )(?:['.:](?<=[a-z].)(?=[a-z])|['.,;](?<=[0-9].)(?=[0-9])|_++(?=[a-z0-9]))[a-z0-9]++)*+(?:_++)?+"
+)
 
 
 @dataclass(frozen=True)
@@ -44,9 +66,9 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, in order, lower-cased; null gives none."""
-    found = F.regexp_extract_all(ascii_lower(text), F.lit(WORD_PATTERN), F.lit(0))
-    found = F.filter(found, lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    lower = ascii_lower(text)
+    every, plain = (F.regexp_extract_all(lower, F.lit(p), F.lit(0)) for p in (WORD_PATTERN, ASCII_PATTERN))
+    return F.coalesce(F.when(F.octet_length(text) == F.length(text), plain).otherwise(every), F.array().cast("array<string>"))
 
 
 def kept_words(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
@@ -56,33 +78,87 @@ def kept_words(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(*sorted(analyzer.stop_words)))
 
 
-def occurrences(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, token): a row for each kept word of each document.
+@F.arrow_udf(ArrayType(StringType()))
+def stem_lists(words: pa.Array) -> pa.Array:
+    """Lists of words with each word stemmed; Python sees a batch's different words alone."""
+    flat = words.flatten().dictionary_encode()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(words.offsets.cast(pa.int32()) if words.offset == 0 else pa.array(np.asarray(words.offsets) - np.asarray(words.offsets)[0], pa.int32()), stems.take(flat.indices))
+
+
+def tokens(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
+    """A text's tokens: its kept words, stemmed if the analyzer stems."""
+    kept = kept_words(text, analyzer)
+    return stem_lists(kept) if analyzer.stem else kept
 
-    Stemming is done once for each distinct word and joined back, so Python sees
-    the vocabulary and not the corpus.
+
+def occurrences(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, token): a row for each kept word of each document.  Nothing is shuffled."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text_col), analyzer)).alias("pos", "token"))
+
+
+def _analyzed(batches):
+    """Rows of indexed() from batches of (doc_id, tokens): grouped within each batch, a document being in one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, lists = batch.column(0), batch.column(1)
+        bounds = np.asarray(lists.offsets, np.int64)
+        bounds = bounds - bounds[0]
+        size = np.diff(bounds)
+        flat = lists.flatten().dictionary_encode()
+        code = np.asarray(flat.indices, np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(code)) - np.repeat(bounds[:-1], size)
+        order = np.lexsort((code, doc))
+        doc, code, pos = doc[order], code[order], pos[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        tf = np.diff(np.append(at, len(code)))
+        distinct = np.bincount(doc[at], minlength=len(size))
+        of = doc[at]
+        # One more row for each document, without a token: that of its lengths.
+        none = pa.nulls(len(size), pa.string())
+        places = pa.ListArray.from_arrays(pa.array(np.append(at, len(code)), pa.int32()), pa.array(pos, pa.int32()))
+        own = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(size) + 1)), pa.int32()), flat.dictionary.take(pa.array(code[at])))
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(np.concatenate([of, np.arange(len(size))]))),
+                pa.concat_arrays([flat.dictionary.take(pa.array(code[at])).cast(pa.string()), none]),
+                pa.array(np.concatenate([tf, np.zeros(len(size), np.int64)])),
+                pa.array(np.concatenate([distinct[of], distinct])),
+                pa.concat_arrays([places, pa.nulls(len(size), places.type)]),
+                pa.array(np.concatenate([np.zeros(len(of), np.int64), size]), mask=np.arange(len(of) + len(size)) < len(of)),
+                pa.concat_arrays([pa.nulls(len(of), own.type), own]),
+            ],
+            names=["doc_id", "token", "tf", "n_distinct", "positions", "len", "tokens"],
+        )
+
+
+def indexed(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings and lengths in one pass, of which nothing is shuffled.
+
+    (doc_id, token, tf, n_distinct, positions, len, tokens): a row for each token
+    of a document, with null len and tokens, and one for the document itself
+    (also if it has no tokens), with a null token.  Each row of docs is a document.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(kept_words(F.col(text_col), analyzer)).alias("pos", "token"))
-    if not analyzer.stem:
-        return rows
-    # Only ASCII words of three letters or more can change.
-    stems = rows.where("octet_length(token) > 2 and token rlike '^[\\\\x00-\\\\x7f]*$'").select(F.col("token").alias("word")).distinct()
-    stems = stems.withColumn("stem", stem_column("word")).where("stem <> word")
-    joined = rows.join(stems, rows["token"] == stems["word"], "left")
-    return joined.select("doc_id", "pos", F.coalesce("stem", "token").alias("token"))
-
-
-def postings(occurrences: DataFrame) -> DataFrame:
-    """(token, doc_id, tf, positions), positions ascending."""
-    grouped = occurrences.groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("token", "doc_id", F.size("positions").cast("bigint").alias("tf"), "positions")
-
-
-def doc_stats(docs: DataFrame, postings: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, len, n_distinct) of every document, also of one without tokens."""
-    counted = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"), F.count("*").alias("n_distinct"))
-    every = docs.select(F.col(id_col).alias("doc_id"))
-    return every.join(counted, "doc_id", "left").fillna(0, ["len", "n_distinct"])
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col), analyzer).alias("tokens"))
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("token", StringType())])
+    schema.add("tf", LongType()).add("n_distinct", LongType()).add("positions", ArrayType(IntegerType()))
+    schema.add("len", LongType()).add("tokens", ArrayType(StringType()))
+    return rows.mapInArrow(_analyzed, schema)
+
+
+def postings(indexed: DataFrame) -> DataFrame:
+    """(token, doc_id, tf, n_distinct, positions), positions ascending."""
+    return indexed.where("token is not null").select("token", "doc_id", "tf", "n_distinct", "positions")
+
+
+def doc_stats(indexed: DataFrame) -> DataFrame:
+    """(doc_id, len, n_distinct, tokens) of every document, also of one without tokens."""
+    return indexed.where("token is null").select("doc_id", "len", "n_distinct", "tokens")
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Query
 
+#: So many terms at most are joined by broadcast and looked up by value.
+FEW_TERMS = 1000
 TERMS_SCHEMA = "query_id string, term_idx int, text string, fuzz int, n_terms int, slop int"
 
 
@@ -17,7 +19,19 @@ def terms_table(spark: SparkSession, queries: dict[str, Query]) -> DataFrame:
         for name, query in queries.items()
         for k, term in enumerate(query.terms)
     ]
-    return spark.createDataFrame(rows, TERMS_SCHEMA)
+    table = spark.createDataFrame(rows, TERMS_SCHEMA)
+    return F.broadcast(table) if len(rows) <= FEW_TERMS else table
+
+
+def looked_up(vocab: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """The part of a vocabulary that the queries' terms can stand for, by filters that reach the scan if the terms are few."""
+    terms = {(t.text, t.fuzz) for q in queries.values() for t in q.terms}
+    if len(terms) > FEW_TERMS:
+        return vocab
+    exact = sorted({text for text, fuzz in terms if not fuzz})
+    sizes = sorted({n for text, fuzz in terms if fuzz for n in range(max(0, len(text) - fuzz), len(text) + fuzz + 1)})
+    wanted = F.col("n_chars").isin(sorted({len(x) for x in exact})) & F.col("token").isin(exact)
+    return vocab.where(wanted | F.col("n_chars").isin(sizes))
 
 
 def expand(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -27,7 +41,7 @@ def expand(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     are joined on the token's length, which can differ by the distance at most,
     before the thresholded edit distance is computed: an equality join, too.
     """
-    exact = terms.where("fuzz = 0").join(vocab.select("token", "df"), F.expr("text = token"))
+    exact = terms.where("fuzz = 0").join(vocab.select("token", "df", F.col("n_chars").alias("n_text")), F.expr("text = token and length(text) = n_text")).drop("n_text")
     exact = exact.withColumn("distance", F.lit(0))
     wanted = terms.where("fuzz > 0").select("text", "fuzz").distinct()
     lengths = wanted.withColumn("n_chars", F.explode(F.sequence(F.greatest(F.length("text") - F.col("fuzz"), F.lit(0)), F.length("text") + F.col("fuzz"))))

@@ -12,12 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def candidates(expanded: DataFrame, postings: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
-    """Postings of all expansions, of documents that are not deleted."""
-    found = postings.join(expanded, "token")
-    if deleted is not None:
-        found = found.join(deleted.select("doc_id"), "doc_id", "left_anti")
-    return found
+def candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of all expansions."""
+    return postings.join(expanded, "token")
+
+
+def complete(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents that have each of a query's terms; positions aren't read.
+
+    The postings of each query's rarest term (by its expansions' documents) name
+    the documents that can match; the others' are counted for these alone.
+    """
+    rarity = expanded.groupBy("query_id", "term_idx").agg(F.sum("df").alias("n"))
+    rarest = rarity.groupBy("query_id").agg(F.min(F.struct("n", "term_idx")).alias("least")).select("query_id", F.col("least.term_idx").alias("term_idx"))
+    pairs = postings.select("token", "doc_id")
+    few = candidates(expanded.join(rarest, ["query_id", "term_idx"]), pairs).select("query_id", "doc_id").distinct()
+    # For each of them, how many of its query's terms it has: (query_id, doc_id) is the key of both.
+    terms = candidates(expanded.select("query_id", "term_idx", "n_terms", "token"), pairs).join(few, ["query_id", "doc_id"], "left_semi")
+    have = terms.groupBy("query_id", "doc_id", "term_idx").agg(F.first("n_terms").alias("n_terms")).groupBy("query_id", "doc_id")
+    return have.agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms").select("query_id", "doc_id")
 
 
 def intersect(weighted: DataFrame) -> DataFrame:

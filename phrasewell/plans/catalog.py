@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from ..engine import Index
 from ..functions import analysis
 from ..functions.analysis import Analyzer
-from ..functions.scoring import idf, term_bm25
+from ..functions.scoring import idf
 from ..functions.stemmer import stemmed
-from ..operators.expand import expand, terms_table
+from ..operators.expand import expand, looked_up, terms_table
 from ..operators.phrase import candidates, intersect, intervals
 from ..sources import ulid
 from ..sources.store import Store
 from ..sources.workdir import shared_dir
 from ..streaming.ingest import delete_stream, ingest
 from . import search as plans
-from .query import analyze, build, parse
+from .query import build, parse
 
 PLAIN = Analyzer(stem=False)
 #: What the search queries look for; words of the corpus's invented languages.
@@ -39,13 +39,19 @@ FUZZY_PHRASE = '"er~1 ntre~1 onbleea~2"~2'
 AUTO_FUZZY = "attion~ thanedble~ anea~"
 ACCENTED = '"de la"~1'
 TITLE = "The Attion, to thanedble"
-BATCH_WORDS = 2
+BATCH_SLOP = 4
+#: Corpora of fewer bytes are spread over the session's cores before they are analyzed.
+SPREAD_BYTES = 64 << 20
 
 _indexes: dict[tuple[str, str], Store] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # A small file may be one row group, which one core would read and analyze alone.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id") if size < SPREAD_BYTES else docs
 
 
 def _key(id: Column) -> Column:
@@ -111,18 +117,17 @@ def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = analysis.postings(analysis.occurrences(corpus(spark, sf_dir), PLAIN))
+    table = analysis.postings(analysis.indexed(corpus(spark, sf_dir), PLAIN))
     return table.select("token", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
 
 
 def stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = analysis.postings(analysis.occurrences(corpus(spark, sf_dir)))
+    table = analysis.postings(analysis.indexed(corpus(spark, sf_dir)))
     return table.select("token", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
 
 
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return analysis.doc_stats(docs, analysis.postings(analysis.occurrences(docs, PLAIN)))
+    return analysis.doc_stats(analysis.indexed(corpus(spark, sf_dir), PLAIN)).drop("tokens")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,17 +184,20 @@ def query_keeps_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, '"attion, thanedble"')
 
 
+def _expanded(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    queries = plans.parse_all({"q": query}, PLAIN)
+    vocab = looked_up(store(spark, sf_dir).tables().vocab, queries)
+    return expand(terms_table(spark, queries), vocab).select("token", "df", "distance")
+
+
 def fuzzy_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     word, fuzz = FUZZY_WORD
-    vocab = store(spark, sf_dir).tables().vocab.where("octet_length(token) = length(token)")
-    query = analyze(parse(f"{word}~{fuzz}"), PLAIN)
-    return expand(terms_table(spark, {word: query}), vocab).select("token", "df", "distance")
+    return _expanded(spark, sf_dir, f"{word}~{fuzz}")
 
 
 def short_token_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words no longer than the fuzziness stand for themselves alone."""
-    vocab = store(spark, sf_dir).tables().vocab.where("octet_length(token) = length(token)")
-    return expand(terms_table(spark, {"er": analyze(parse("er~2"), PLAIN)}), vocab).select("token", "df", "distance")
+    return _expanded(spark, sf_dir, "er~2")
 
 
 def fuzzy_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,10 +244,8 @@ def score_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most that a document's best interval can score: each term's heaviest expansion, gaps aside."""
     t = store(spark, sf_dir).tables()
     queries = plans.parse_all({"q": FUZZY_PHRASE}, PLAIN)
-    found = candidates(expand(terms_table(spark, queries), t.vocab), t.postings)
-    found = found.join(t.doc_stats.select("doc_id", "n_distinct"), "doc_id").crossJoin(F.broadcast(t.corpus))
-    weight = term_bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("n_distinct"), F.col("avg_doc_len"), F.col("distance"))
-    by_term = found.groupBy("doc_id", "term_idx", "n_terms").agg(F.max(weight).alias("w"))
+    found = plans.weighted(expand(terms_table(spark, queries), looked_up(t.vocab, queries)), t)
+    by_term = found.groupBy("doc_id", "term_idx", "n_terms").agg(F.max("weight").alias("w"))
     bound = by_term.groupBy("doc_id", "n_terms").agg(F.sum("w").alias("bound"), F.count("*").alias("n")).where("n = n_terms")
     return _ids(bound.select("doc_id", F.round("bound", 6).alias("bound")))
 
@@ -247,11 +253,11 @@ def score_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hydrated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = store(spark, sf_dir).tables()
     ranked = plans.search(spark, t, PHRASE, PLAIN, 5)
-    return _scored(plans.hydrate(ranked, t.documents)).select("doc_id", "score", "content")
+    return _scored(plans.hydrate(ranked, t.documents, 5)).select("doc_id", "score", "content")
 
 
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(store(spark, sf_dir).live_documents().where(F.col("doc_id") == _key(F.lit(7)))).select("doc_id", "content")
+    return _ids(store(spark, sf_dir).live_documents().where(F.col("doc_id") == f"{7:020d}")).select("doc_id", "content")
 
 
 def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +267,9 @@ def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first words as a phrase, all in one job."""
+    """Every benchmark item's whole text as a phrase, all in one job."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    first = items.select(F.col("item_id").cast("string").alias("id"), F.slice(analysis.kept_words(F.col("text"), PLAIN), 1, BATCH_WORDS).alias("w"))
-    queries = {r["id"]: '"' + " ".join(r["w"]) + '"~1' for r in first.where(F.size("w") == BATCH_WORDS).toLocalIterator()}
-    found = plans.search_many(spark, store(spark, sf_dir).tables(), queries, PLAIN)
+    found = plans.phrases(spark, store(spark, sf_dir).tables(), items, "item_id", "text", BATCH_SLOP, PLAIN)
     return _scored(found).select(F.col("query_id").cast("bigint").alias("item_id"), "doc_id", "score")
 
 

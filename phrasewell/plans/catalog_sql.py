@@ -8,11 +8,14 @@ first (query terms are ASCII, such a character equals none of theirs).
 
 from __future__ import annotations
 
-from ..functions.analysis import LOWER, PLAIN_PATTERN, STOP_WORDS, UPPER
+from ..functions.analysis import LOWER, STOP_WORDS, UPPER
 from . import catalog as q
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _LETTER = r"[\p{L}\p{N}]"
+#: Words of alphabets whose letters join up, in rules of its own: no lookaround, no scripts.
+_A, _N = r"\p{L}\p{M}*", r"\p{Nd}"
+PLAIN_PATTERN = rf"(?:{_A}(?:['’.·:]{_A})+|{_N}(?:['’.,;]{_N})+|{_A}|{_N}|_)+"
 _TOXIC = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"
 
 
@@ -182,8 +185,7 @@ def _stem_ctes(words: str) -> str:
 fixed(a, b) AS (VALUES {table}),
 easy AS (SELECT word FROM all_words WHERE strlen(word) > 2 AND strlen(word) = length(word) AND word NOT IN ({untouched})),
 bare AS (SELECT word, CASE WHEN starts_with(word, '''') THEN substr(word, 2) ELSE word END AS w FROM easy),
-ys AS (SELECT word, list_aggregate(list_transform(range(1, length(w) + 1), lambda k: CASE
-    WHEN w[k] = 'y' AND (k = 1 OR (w[k - 1] IN ('a', 'e', 'i', 'o', 'u') OR (w[k - 1] = 'y' AND k > 2))) THEN 'Y' ELSE w[k] END), 'string_agg', '') AS w
+ys AS (SELECT word, replace(regexp_replace(replace(replace(regexp_replace(w, '^y', 'Y'), 'yy', 'y#'), '#y', '##'), '([aeiou])y', '\\1#', 'g'), '#', 'Y') AS w
   FROM bare WHERE w NOT IN (SELECT a FROM fixed)),
 r AS (SELECT word, w, CASE {prefixes} WHEN regexp_matches(w, '{first}') THEN length(regexp_extract(w, '{first}')) ELSE length(w) END AS r1 FROM ys),
 rr AS (SELECT word, w, r1, CASE WHEN regexp_matches(substr(w, r1 + 1), '{first}') THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{first}'))
@@ -199,16 +201,21 @@ def _postings(ctes: str) -> str:
 
 _SLOP = [("er", 0), ("ntre", 0), ("anon", 0)]
 _FUZZY = [("er", 1), ("ntre", 1), ("onbleea", 2)]
-_BATCH = f"""WITH {_tables()},
+_BATCH = f"""WITH RECURSIVE {_tables()},
 bwords AS (SELECT item_id, list_filter(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{PLAIN_PATTERN.replace("'", "''")}'),
   lambda x: regexp_matches(x, '{_LETTER}') AND x NOT IN ({_STOP})) AS w FROM benchmark),
-pairs AS (SELECT item_id, w[1] AS a, w[2] AS b FROM bwords WHERE length(w) >= {q.BATCH_WORDS}),
-sides AS (SELECT item_id, 0 AS term, a AS token FROM pairs UNION ALL SELECT item_id, 1, b FROM pairs),
-h AS (SELECT item_id, term, occ.doc_id, pos, {_WEIGHT.replace("dist", "0")} AS w FROM sides JOIN occ ON sides.token = occ.token
+sides AS (SELECT item_id, len(w) AS n_terms, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS term FROM bwords),
+able AS (SELECT item_id, n_terms, doc_id FROM sides JOIN posts ON sides.token = posts.token GROUP BY ALL HAVING count(DISTINCT term) = n_terms),
+h AS MATERIALIZED (SELECT able.item_id, able.n_terms, term, occ.doc_id, pos, {_WEIGHT.replace("dist", "0")} AS w FROM able JOIN sides ON able.item_id = sides.item_id
+  JOIN occ ON sides.token = occ.token AND able.doc_id = occ.doc_id
   JOIN posts ON posts.token = occ.token AND posts.doc_id = occ.doc_id JOIN vocab ON vocab.token = occ.token JOIN stats ON stats.doc_id = occ.doc_id, corpus),
-chain AS (SELECT x.item_id, x.doc_id, y.pos - x.pos - 1 AS gaps, x.w + y.w AS w FROM (SELECT * FROM h WHERE term = 0) x
-  ASOF JOIN (SELECT * FROM h WHERE term = 1) y ON x.item_id = y.item_id AND x.doc_id = y.doc_id AND x.pos < y.pos),
-found AS (SELECT item_id, doc_id, round(max(w / (gaps + 1)), 6) AS score FROM chain WHERE gaps <= 1 GROUP BY ALL)"""
+following AS MATERIALIZED (SELECT x.item_id, x.doc_id, x.term, x.pos, y.pos AS pos2, y.w AS w2 FROM h x ASOF JOIN (SELECT item_id, doc_id, term - 1 AS term, pos, w FROM h) y
+  ON x.item_id = y.item_id AND x.doc_id = y.doc_id AND x.term = y.term AND x.pos < y.pos),
+steps(item_id, n_terms, doc_id, term, first, last, w) AS (SELECT item_id, n_terms, doc_id, term, pos, pos, w FROM h WHERE term = 0 UNION ALL
+  SELECT s.item_id, s.n_terms, s.doc_id, s.term + 1, s.first, f.pos2, s.w + f.w2 FROM steps s
+  JOIN following f ON s.item_id = f.item_id AND s.doc_id = f.doc_id AND s.term = f.term AND s.last = f.pos),
+chain AS (SELECT item_id, doc_id, last - first - n_terms + 1 AS gaps, w FROM steps WHERE term = n_terms - 1),
+found AS (SELECT item_id, doc_id, round(max(w / (gaps + 1)), 6) AS score FROM chain WHERE gaps <= {q.BATCH_SLOP} GROUP BY ALL)"""
 _ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 _BEST = f"WITH {_tables()}, {_hits(_FUZZY)}, best AS (SELECT term, doc_id, max(w) AS w FROM weights GROUP BY ALL)"
 
@@ -233,8 +240,8 @@ def oracle_sql() -> dict[str, str]:
         "stop_words_leave_no_gap": _phrase([("er", 0), ("ntre", 0)], 0),
         "stop_words_only": "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE FALSE",
         "query_keeps_punctuation": _phrase([("attion,", 0), ("thanedble", 0)], 0),
-        "fuzzy_expansion": f"WITH {_tables()}, {_expanded([q.FUZZY_WORD])} SELECT token, df, dist AS distance FROM exp WHERE strlen(token) = length(token)",
-        "short_token_guard": f"WITH {_tables()}, {_expanded([('er', 2)])} SELECT token, df, dist AS distance FROM exp WHERE strlen(token) = length(token)",
+        "fuzzy_expansion": f"WITH {_tables()}, {_expanded([q.FUZZY_WORD])} SELECT token, df, dist AS distance FROM exp",
+        "short_token_guard": f"WITH {_tables()}, {_expanded([('er', 2)])} SELECT token, df, dist AS distance FROM exp",
         "fuzzy_phrase": _phrase(_FUZZY, 2),
         "fuzzy_top_5": _phrase(_FUZZY, 2, 5),
         "auto_fuzzy": _phrase([("attion", 2), ("thanedble", 2), ("anea", 1)], 0),

@@ -10,33 +10,32 @@ from pyspark.sql import functions as F
 from ..functions import analysis
 from ..functions.analysis import Analyzer
 from ..functions.scoring import term_bm25
-from ..operators.expand import expand, terms_table
-from ..operators.phrase import best_scores, candidates, intersect
+from ..operators.expand import expand, looked_up, terms_table
+from ..operators.phrase import best_scores, candidates, complete, intersect
 from .query import Query, analyze, parse
 
 #: So many expansions at most are looked up by value, so that the filter reaches the scan.
 PUSHED_TOKENS = 500
+#: Postings beyond which a query's rarest term is looked at first (by their frequencies; results are the same).
+MANY_POSTINGS = 1_000_000
 
 
 @dataclass
 class Tables:
-    """What a search reads; deleted may be None."""
+    """What a search reads, of live documents."""
 
     documents: DataFrame  #: (doc_id, content)
-    doc_stats: DataFrame  #: (doc_id, len, n_distinct)
-    postings: DataFrame  #: (token, doc_id, tf, positions)
-    vocab: DataFrame  #: (token, df, n_chars, n_bytes), of live documents
-    corpus: DataFrame  #: one row (n_docs, avg_doc_len), of live documents
-    deleted: DataFrame | None = None
+    postings: DataFrame  #: (token, doc_id, tf, n_distinct, positions)
+    vocab: DataFrame  #: (token, df, n_chars, n_bytes)
+    corpus: DataFrame  #: one row (n_docs, avg_doc_len)
 
 
 def from_documents(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str = "doc_id", text_col: str = "text") -> Tables:
     """Tables computed from documents alone, with no stored index."""
-    occurrences = analysis.occurrences(docs, analyzer, id_col, text_col)
-    postings = analysis.postings(occurrences)
-    stats = analysis.doc_stats(docs, postings, id_col)
+    indexed = analysis.indexed(docs, analyzer, id_col, text_col)
+    postings = analysis.postings(indexed)
     documents = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"))
-    return Tables(documents, stats, postings, analysis.vocabulary(postings), analysis.corpus_stats(stats))
+    return Tables(documents, postings, analysis.vocabulary(postings), analysis.corpus_stats(analysis.doc_stats(indexed)))
 
 
 def parse_all(queries: dict[str, str], analyzer: Analyzer) -> dict[str, Query]:
@@ -44,31 +43,54 @@ def parse_all(queries: dict[str, str], analyzer: Analyzer) -> dict[str, Query]:
     return {name: analyze(parse(text), analyzer) for name, text in queries.items()}
 
 
+def weighted(expanded: DataFrame, tables: Tables, postings: DataFrame | None = None) -> DataFrame:
+    """Postings of all expansions with their share of a score."""
+    found = candidates(expanded, tables.postings if postings is None else postings).crossJoin(F.broadcast(tables.corpus))
+    weight = term_bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("n_distinct"), F.col("avg_doc_len"), F.col("distance"))
+    return found.withColumn("weight", weight)
+
+
 def scores(spark: SparkSession, tables: Tables, queries: dict[str, Query], push: bool = True) -> DataFrame:
     """(query_id, doc_id, score) of all matches of all queries."""
     queries = {name: q for name, q in queries.items() if q.terms}
-    expanded = expand(terms_table(spark, queries), tables.vocab)
+    expanded = expand(terms_table(spark, queries), looked_up(tables.vocab, queries))
     postings = tables.postings
+    rarest_first = len(queries) > 1
     if push:
-        # A look at the expansions, at most so many: they prune the postings' row groups.
-        few = expanded.select("query_id", "term_idx", "token").limit(PUSHED_TOKENS + 1).collect()
+        # A look at the expansions, at most so many: they prune the postings' row groups, and the vocabulary isn't read again.
+        few = expanded.limit(PUSHED_TOKENS + 1).collect()
         if len(few) <= PUSHED_TOKENS:
             found: dict[str, set[int]] = {}
             for row in few:
                 found.setdefault(row["query_id"], set()).add(row["term_idx"])
             whole = {name for name, terms in found.items() if len(terms) == len(queries[name].terms)}
-            tokens = sorted({row["token"] for row in few if row["query_id"] in whole})
-            if not tokens:
+            few = [row for row in few if row["query_id"] in whole]
+            if not few:
                 return spark.createDataFrame([], "query_id string, score double").join(tables.documents.select("doc_id"), F.lit(False)).select(
                     "query_id", "doc_id", "score"
                 )
-            postings = postings.where(F.col("token").isin(tokens))
-            expanded = expanded.where(F.col("query_id").isin(sorted(whole)))
-    found = candidates(expanded, postings, tables.deleted)
-    found = found.join(tables.doc_stats.select("doc_id", "n_distinct"), "doc_id").crossJoin(F.broadcast(tables.corpus))
-    weight = term_bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("n_distinct"), F.col("avg_doc_len"), F.col("distance"))
-    weighted = found.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", weight.alias("weight"))
-    return best_scores(intersect(weighted))
+            postings = postings.where(F.col("token").isin(sorted({row["token"] for row in few})))
+            expanded = F.broadcast(spark.createDataFrame(few, expanded.schema))
+            rarest_first = len({row["term_idx"] for row in few}) > 1 and sum(row["df"] for row in few) > MANY_POSTINGS
+    if rarest_first:
+        pairs = complete(expanded, postings)
+        hits = weighted(expanded, tables, postings).join(pairs, ["query_id", "doc_id"], "left_semi")
+    else:
+        hits = weighted(expanded, tables, postings)
+    return best_scores(intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight")))
+
+
+def phrases(spark: SparkSession, tables: Tables, texts: DataFrame, id_col: str, text_col: str, slop: int = 0, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """(query_id, doc_id, score): each text of a table as an exact phrase of that slop, whatever its length; ids as strings.
+
+    The queries never reach the driver, so there can be many.
+    """
+    terms = texts.select(F.col(id_col).cast("string").alias("query_id"), analysis.tokens(F.col(text_col), analyzer).alias("t"))
+    terms = terms.select("query_id", F.size("t").alias("n_terms"), F.posexplode("t").alias("term_idx", "token"))
+    expanded = terms.join(tables.vocab.select("token", "df"), "token").withColumns({"slop": F.lit(slop), "distance": F.lit(0)})
+    pairs = complete(expanded, tables.postings)
+    hits = weighted(expanded, tables).join(pairs, ["query_id", "doc_id"], "left_semi")
+    return best_scores(intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight")))
 
 
 def top(scored: DataFrame, top_k: int, single: bool = False) -> DataFrame:
@@ -83,8 +105,15 @@ def top(scored: DataFrame, top_k: int, single: bool = False) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).drop("rank")
 
 
-def hydrate(ranked: DataFrame, documents: DataFrame) -> DataFrame:
-    """ranked with the documents' content, best first; documents that are gone are dropped."""
+def hydrate(ranked: DataFrame, documents: DataFrame, top_k: int = 0) -> DataFrame:
+    """ranked with the documents' content, best first; documents that are gone are dropped.
+
+    The ids of a few best are looked up by value, so that the filter reaches the scan.
+    """
+    if 0 < top_k <= PUSHED_TOKENS:
+        rows = ranked.collect()
+        ranked = F.broadcast(ranked.sparkSession.createDataFrame(rows, ranked.schema))
+        documents = documents.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
     return ranked.join(documents, "doc_id").orderBy("query_id", F.col("score").desc(), "doc_id")
 
 

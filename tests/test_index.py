@@ -33,6 +33,9 @@ def test_life(spark, tmp_path):
     assert set(contents(again, "fox")) == {"quick foxes", "fox"}
     with pytest.raises(MissingDocumentError):
         again.get(ids[0])
+    # Hidden at once; the counts are taken back when it is written.
+    assert {r.document.id: r.score for r in again.search("fox")} == pytest.approx({k: v for k, v in before.items() if k != ids[0]})
+    again.flush()
     left = {r.document.id: r.score for r in again.search("fox")}
     assert again.merge() == 0 and again.store.merge(0.1, again.analyzer) == 1
     assert {r.document.id: r.score for r in Index(spark, path).search("fox")} == pytest.approx(left)
@@ -78,6 +81,98 @@ def test_bulk_and_batch_search(spark, tmp_path):
     assert index.search_df("fox").count() == 16
 
 
+def test_added_deleted_added(spark, tmp_path):
+    """An id that was deleted can be added again, with other words; only these count."""
+    index = Index(spark, str(tmp_path))
+    add = lambda *rows: index.add_documents(spark.createDataFrame(rows, "k string, content string"), id_col="k")
+    add(("x", "red fox"), ("y", "red hen"))
+    assert index.delete("x") and contents(index, "fox") == []
+    index.flush()
+    add(("x", "blue fox fox"))
+    assert contents(index, "fox") == ["blue fox fox"] and contents(index, "red") == ["red hen"] and index.get("x").content == "blue fox fox"
+    assert index.store.corpus().first()["n_docs"] == 2
+    assert {r["token"]: r["df"] for r in index.tables().vocab.collect()} == {"red": 1, "hen": 1, "blue": 1, "fox": 1}
+    before = index.search("fox")
+    index.store.merge(0.0)
+    assert index.search("fox") == before and contents(index, "hen") == ["red hen"]
+    index.delete("x")
+    with pytest.raises(MissingDocumentError):
+        index.get("x")
+    index.flush()
+    with pytest.raises(MissingDocumentError):
+        index.get("x")
+    with pytest.raises(DocumentIdError):
+        Index(spark, str(tmp_path / "other")).get("x")
+
+
+def test_deletions_are_purged_when_many(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    index.PURGE_LEAST = 2
+    ids = [index.add(f"fox {k}x") for k in range(9)]
+    index.tables()
+    for n, id in enumerate(ids[:3]):
+        assert index.store.corpus().first()["n_docs"] == 9 and len(index._deleted) == n
+        index.delete(id)
+    assert index.store.corpus().first()["n_docs"] == 6 and not index._deleted and len(contents(index, "fox")) == 6
+
+
+def test_two_writers(spark, tmp_path):
+    """Neither loses what the other wrote, whatever each of them had read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id string, content string")
+    ids = lambda *rows: spark.createDataFrame([(r,) for r in rows], "doc_id string")
+    a, b, plain = Store(spark, str(tmp_path)), Store(spark, str(tmp_path)), Config().analyzer()
+    a.append(docs(("1", "red fox")), plain)
+    b.append(docs(("2", "fox")), plain)
+    assert len(Store(spark, str(tmp_path)).batches()) == 2 and a.delete(ids("2")) == 1 and b.delete(ids("2")) == 0
+    with ThreadPoolExecutor(4) as pool:
+        work = [pool.submit(s.append, docs((str(k), "fox den")), plain) for k, s in ((3, a), (4, b), (5, Store(spark, str(tmp_path))))]
+        work += [pool.submit(b.delete, ids("1")), pool.submit(a.delete, ids("1"))]
+        assert [w.result() for w in work][3:].count(1) == 1
+    last = Store(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in last.live_documents().collect()) == ["3", "4", "5"]
+    assert last.corpus().first()["n_docs"] == 3 and {r["token"]: r["df"] for r in last.tables().vocab.collect()} == {"fox": 3, "den": 3}
+    # A commit that another one came before, in another process: the version exists already.
+    a.manifest = {**last.manifest, "version": 0}
+    assert not a._create({"version": last.manifest["version"]})
+    merged = last.manifest["epoch"]
+    assert last.merge(0.0) >= 0 and last.manifest["epoch"] in (merged, merged + 1)
+
+
+def test_small_batches_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("phrasewell.sources.store.SMALL_BATCHES", 4)
+    index = Index(spark, str(tmp_path))
+    for k in range(6):
+        index.add(f"fox {k}k")
+        index.flush()
+    assert len(index.store.batches()) == 3 and len(contents(index, "fox")) == 6
+    assert index.store.corpus().first()["n_docs"] == 6
+
+
+def test_policy_is_size_or_age(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    index.config = Config(documents_buffer_size=10, documents_save_after_seconds=1000)
+    index.add("a fox")
+    assert index._added
+    index.add("another fox")
+    assert not index._added
+    index.config = Config(documents_save_after_seconds=-1)
+    index.add("a third fox")
+    assert not index._added and len(contents(index, "fox")) == 3
+
+
+def test_texts_as_phrases(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    with index.session():
+        for t in ("one two three four five six", "two three", "six five", ""):
+            index.add(t)
+    texts = spark.createDataFrame([(1, "two three four"), (2, "one three"), (3, None), (4, "the"), (5, "one two three four five six")], "id int, text string")
+    got = {r["query_id"]: r["score"] for r in index.search_texts(texts, slop=1).collect()}
+    assert set(got) == {"1", "2", "5"}
+    assert got["1"] == pytest.approx(index.search('"two three four"~1')[0].score) and got["2"] == pytest.approx(index.search('"one three"~1')[0].score)
+
+
 def test_registry(spark, tmp_path):
     engine = PhraseSearch(spark)
     fresh, index = engine.add("a", str(tmp_path))
@@ -143,3 +238,19 @@ def test_streams(spark, tmp_path):
     assert index.store.corpus().first()["n_docs"] == 3
     delete_stream(stream(gone, "doc_id string"), index, str(tmp_path / "c3"), once=True).awaitTermination()
     assert [r["doc_id"] for r in index.search_df("fox").collect()] == ["1"]
+
+
+def test_both_streams_at_once(spark, tmp_path):
+    source, gone = tmp_path / "source", tmp_path / "gone"
+    index = Index(spark, str(tmp_path / "index"))
+    index.add_documents(spark.createDataFrame([(str(k), "old fox") for k in range(10)], "k string, content string"), id_col="k")
+    for k in range(3):
+        spark.createDataFrame([(f"n{k}", "new fox")], "doc_id string, content string").coalesce(1).write.mode("append").parquet(str(source))
+        spark.createDataFrame([(str(k),)], "doc_id string").coalesce(1).write.mode("append").parquet(str(gone))
+    stream = lambda path, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    runs = [ingest(stream(source, "doc_id string, content string"), index, str(tmp_path / "c1"), once=True)]
+    runs.append(delete_stream(stream(gone, "doc_id string"), index, str(tmp_path / "c2"), once=True))
+    for run in runs:
+        run.awaitTermination()
+    assert sorted(r["doc_id"] for r in index.search_df("fox").collect()) == [*map(str, range(3, 10)), "n0", "n1", "n2"]
+    assert Index(spark, str(tmp_path / "index")).store.corpus().first()["n_docs"] == 10

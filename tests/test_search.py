@@ -107,7 +107,7 @@ def test_top_k_takes_the_best_and_breaks_ties_by_id(spark, tables, words):
     many = plans.search_many(spark, tables[False], {"q": "er", "p": "x"}, PLAIN, 2).collect()
     assert {(r["query_id"], r["doc_id"]) for r in many} >= {("q", d) for d, _ in want[:2]} and len(many) == 4
     with pytest.raises(ValueError):
-        plans.top(tables[False].doc_stats, -1)
+        plans.top(tables[False].vocab, -1)
 
 
 def test_pushing_tokens_down_changes_nothing(spark, tables):
