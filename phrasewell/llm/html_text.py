@@ -8,18 +8,24 @@ walks the tree and emits all visible text:
 
 * Nothing inside ``head``, ``script``, ``style``, ``template``, ``noscript``
   and other elements that browsers don't show, nor inside elements with
-  ``hidden``, ``aria-hidden="true"`` or an inline ``display:none`` or
-  ``visibility:hidden``.
+  ``hidden``, ``aria-hidden="true"`` or an inline ``display:none``.  Inside
+  ``visibility:hidden`` only what is ``visibility:visible`` again.  Of a
+  ``select`` the chosen options (the first, if none is), of ``svg`` its texts.
 * Block elements start on a new line; paragraphs, headings, lists, tables and
   other spaced blocks are set off by an empty line.  White space collapses,
   except within ``pre`` and ``textarea``.
-* List items get ``- `` or their number, two columns deeper for each level.
-* A table row is a line; cells are padded to the width of their column and
-  separated by `` | ``; ``colspan`` takes that many columns.
+* List items get ``- `` or their number (by ``start``, ``value``, ``type`` and
+  ``reversed``), two columns deeper for each level.
+* A table row is a line, or as many as its highest cell has: blocks, lists and
+  tables within cells keep their lines.  Cells are padded to the width of their
+  column and separated by `` | ``; ``colspan`` and ``rowspan`` take that many
+  columns and rows, empty but for the first.
 * ``img`` gives its ``alt`` text, ``br`` a line break, ``hr`` a rule.
 
 Defined results: null gives null; an empty page or one without visible text
-gives the empty string.  Depth is not limited (nothing here recurses on it).
+gives the empty string.  A repeated row is rendered each time, a very long page
+whole; an empty table gives no rows, and extra columns are ignored, whatever
+their names.  Depth is not limited (nothing here recurses on it).
 """
 
 from __future__ import annotations
@@ -35,13 +41,13 @@ from pyspark.sql.types import StringType
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe object embed audio video canvas svg math title meta link base "
-    "datalist noembed noframes param source track area map select".split()
+    "head script style template noscript iframe object embed audio video canvas title meta link base "
+    "datalist noembed noframes param source track area map desc defs symbol".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside nav header footer main form address li dt dd figcaption legend details summary "
-    "dialog center dir menu hgroup search optgroup option caption thead tbody tfoot tr td th".split()
+    "dialog center dir menu hgroup search optgroup option caption thead tbody tfoot tr td th -lines".split()
 )
 #: A start tag closes these open elements, unless one of the second set lies between.
 _P = (frozenset({"p"}), frozenset({"button", "table", "td", "th", "caption", "object", "applet", "marquee", "html"}))
@@ -76,8 +82,9 @@ _TAG = re.compile(
     r"""<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_WORTH = frozenset("hidden aria-hidden style alt start value colspan type".split())
+_HIDDEN = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
+_WORTH = frozenset("hidden aria-hidden style alt start value colspan rowspan type reversed selected multiple".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -208,6 +215,7 @@ def _before(parent: Node, child: Node) -> int:
 
 
 def visible(node: Node) -> bool:
+    """Whether anything of an element can be shown."""
     if node.tag in UNSEEN:
         return False
     a = node.attrs
@@ -218,6 +226,52 @@ def visible(node: Node) -> bool:
     return "style" not in a or not _HIDDEN.search(a["style"])
 
 
+def veiled(node: Node, veil: bool) -> bool:
+    """Whether an element's own text is hidden, veil being its parent's state."""
+    if node.tag == "svg":
+        return True
+    if node.tag in ("text", "foreignobject"):
+        veil = False
+    if "style" in node.attrs and (found := _VISIBILITY.findall(node.attrs["style"])):
+        return found[-1].lower() in ("hidden", "collapse")
+    return veil
+
+
+def chosen(select: Node) -> list[Node]:
+    """The options of a select that are shown."""
+    options, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if not isinstance(node, str) and visible(node):
+            if node.tag == "option":
+                options.append(node)
+            else:
+                work += reversed(node.children)
+    if "multiple" in select.attrs:
+        return options
+    marked = [n for n in options if "selected" in n.attrs]
+    return marked[-1:] or options[:1]
+
+
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def mark(number: int, kind: str) -> str:
+    """A list item's number in the style of its list."""
+    text = str(number)
+    if kind in ("a", "A") and number > 0:
+        text, n = "", number
+        while n:
+            n, letter = divmod(n - 1, 26)
+            text = chr(97 + letter) + text
+    elif kind in ("i", "I") and 0 < number < 4000:
+        text, n = "", number
+        for value, letters in _ROMAN:
+            while n >= value:
+                text, n = text + letters, n - value
+    return text.upper() if kind in ("A", "I") else text
+
+
 class _Page:
     """Lines of text under construction."""
 
@@ -285,13 +339,13 @@ def _number(value: str | None, default: int) -> int:
 _ENTER, _LEAVE = 0, 1
 
 
-def render(root: Node) -> str:
+def render(root: Node, veil: bool = False) -> str:
     """The visible text of a tree."""
     page = _Page()
-    # (what to do, the node or string, whether white space stays, the list's kind, depth of lists)
-    work: list[tuple] = [(_ENTER, root, False, None, 0)]
+    # (what to do, the node or string, whether white space stays, the list's state, depth of lists, whether text is hidden)
+    work: list[tuple] = [(_ENTER, root, False, None, 0, veil)]
     while work:
-        what, node, pre, lists, depth = work.pop()
+        what, node, pre, lists, depth, veil = work.pop()
         if what == _LEAVE:
             page.end()
             if node.tag == "li":
@@ -302,10 +356,12 @@ def render(root: Node) -> str:
                 page.gap = True
             continue
         if isinstance(node, str):
-            page.verbatim(node) if pre else page.text(node)
+            if not veil:
+                page.verbatim(node) if pre else page.text(node)
             continue
         if not visible(node):
             continue
+        veil = veiled(node, veil)
         tag = node.tag
         if tag == "br":
             if page.line:
@@ -314,7 +370,7 @@ def render(root: Node) -> str:
                 page.lines.append("")
             continue
         if tag == "img":
-            if alt := node.attrs.get("alt", "").strip():
+            if (alt := node.attrs.get("alt", "").strip()) and not veil:
                 page.text(alt)
             continue
         if tag == "wbr":
@@ -328,8 +384,8 @@ def render(root: Node) -> str:
         if tag == "table":
             page.end()
             page.gap = True
-            for line in table_lines(node):
-                page.put(line)
+            for line in table_lines(node, veil):
+                page.put(line) if line else page.lines.append("")
             page.gap = True
             continue
         if tag in BLOCK:
@@ -338,91 +394,110 @@ def render(root: Node) -> str:
                 page.gap = True
             before = page.indent
             if tag == "li":
-                page.lead = " " * page.indent + (f"{lists[0]}. " if lists else "- ")
+                if lists:
+                    lists[0] = _number(node.attrs.get("value"), lists[0])
+                page.lead = " " * page.indent + (f"{mark(lists[0], lists[1])}. " if lists else "- ")
                 page.indent += len(page.lead) - page.indent
                 if lists:
-                    lists[0] += 1
+                    lists[0] += lists[2]
             elif tag in ("blockquote", "dd"):
                 page.indent += 2
-            work.append((_LEAVE, node, pre, before, depth))
+            work.append((_LEAVE, node, pre, before, depth, veil))
         if tag == "ol":
-            lists = [_number(node.attrs.get("start"), 1)]
+            step = -1 if "reversed" in node.attrs else 1
+            first = sum(not isinstance(x, str) and x.tag == "li" for x in node.children) if step < 0 else 1
+            lists = [_number(node.attrs.get("start"), first), node.attrs.get("type", ""), step]
         elif tag in ("ul", "menu", "dir"):
             lists = None
         if tag in ("ul", "ol"):
             depth += 1
-        if tag in ("pre", "textarea"):
+        if tag in ("pre", "textarea", "-lines"):
             pre = True
-        work += [(_ENTER, child, pre, lists, depth) for child in reversed(node.children)]
+        children = chosen(node) if tag == "select" else node.children
+        work += [(_ENTER, child, pre, lists, depth, veil) for child in reversed(children)]
     page.end()
     return "\n".join(line.rstrip(" ") for line in page.lines).strip("\n")
 
 
-def _rows(table: Node) -> tuple[list[Node], list[Node]]:
-    """(captions, rows) of a table, in order; rows of tables within it are theirs."""
-    captions, rows, work = [], [], list(reversed(table.children))
+def _rows(table: Node, veil: bool) -> tuple[list[tuple[Node, bool]], list[tuple[Node, bool]]]:
+    """(captions, rows) of a table, in order, with whether their text is hidden; rows of tables within it are theirs."""
+    captions, rows, work = [], [], [(x, veil) for x in reversed(table.children)]
     while work:
-        node = work.pop()
+        node, veil = work.pop()
         if isinstance(node, str) or not visible(node):
             continue
+        veil = veiled(node, veil)
         if node.tag == "tr":
-            rows.append(node)
+            rows.append((node, veil))
         elif node.tag == "caption":
-            captions.append(node)
+            captions.append((node, veil))
         elif node.tag != "table":
-            work += reversed(node.children)
+            work += [(x, veil) for x in reversed(node.children)]
     return captions, rows
 
 
-def table_lines(table: Node) -> list[str]:
+def table_lines(table: Node, veil: bool = False) -> list[str]:
     """A table's caption and rows, cells padded to their columns.
 
     Tables within cells are set first, innermost first, and stand in their cell
-    as one line, so that depth costs no recursion.
+    as lines of text, so that depth costs no recursion.
     """
-    order, work = [], [table]
+    order, work = [], [(table, veil)]
     while work:
-        node = work.pop()
-        order.append(node)
-        inner = list(node.children)
+        node, veil = work.pop()
+        order.append((node, veil))
+        inner = [(x, veil) for x in node.children]
         while inner:
-            child = inner.pop()
+            child, veil = inner.pop()
             if not isinstance(child, str) and visible(child):
+                veil = veiled(child, veil)
                 if child.tag == "table":
-                    work.append(child)
+                    work.append((child, veil))
                 else:
-                    inner += child.children
+                    inner += [(x, veil) for x in child.children]
     lines: list[str] = []
-    for node in reversed(order):
-        lines = _own_lines(node)
+    for node, veil in reversed(order):
+        lines = _own_lines(node, veil)
         if node is not table:
-            # From here on this table is a line of text in its cell.
-            node.tag, node.children = "div", [" ".join(x.strip() for x in lines)]
+            # From here on this table is lines of text in its cell, hidden ones left out already.
+            node.tag, node.attrs, node.children = "-lines", {"style": "visibility:visible"}, ["\n".join(lines)]
     return lines
 
 
-def _own_lines(table: Node) -> list[str]:
-    captions, rows = _rows(table)
+def _own_lines(table: Node, veil: bool) -> list[str]:
+    captions, rows = _rows(table, veil)
     out = []
-    for caption in captions:
-        if text := _SPACE.sub(" ", render(caption)).strip():
+    for caption, veil in captions:
+        if text := _SPACE.sub(" ", render(_as_body(caption), veil)).strip():
             out.append(text)
-    grid, widths = [], []
-    for row in rows:
-        cells = []
+    grid: list[dict[int, list[str]]] = []
+    widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  #: columns that a cell above still spans, and for how many rows
+    for row, veil in rows:
+        cells: dict[int, list[str]] = {}
+        column, spans = 0, []
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
-            cells.append(_SPACE.sub(" ", render(Node("body", None) if not cell.children else _as_body(cell))).strip())
-            cells += [""] * (min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000) - 1)
-        if any(cells):
-            grid.append(cells)
-            for k, text in enumerate(cells):
-                if k == len(widths):
-                    widths.append(0)
-                widths[k] = max(widths[k], len(text))
+            while taken.get(column):
+                column += 1
+            wide = min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000)
+            high = _number(cell.attrs.get("rowspan"), 1)
+            text = render(_as_body(cell), veiled(cell, veil)) if cell.children else ""
+            cells[column] = [x for x in text.split("\n") if x]
+            widths[column] = max(widths.get(column, 0), *map(len, cells[column]), 0)
+            spans += [(column + k, len(rows) if high == 0 else max(1, high)) for k in range(wide)]
+            column += wide
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+        taken |= {k: n - 1 for k, n in spans if n > 1}
+        cells |= {k: [] for k, _ in spans if k not in cells}
+        grid.append(cells)
+    n_columns = 1 + max((k for cells in grid for k in cells), default=-1)
     for cells in grid:
-        out.append(" | ".join(text.ljust(widths[k]) for k, text in enumerate(cells)).rstrip())
+        last = max(cells, default=-1)
+        for k in range(max(map(len, cells.values()), default=0)):
+            line = [(cells.get(c, [])[k] if k < len(cells.get(c, [])) else "").ljust(widths.get(c, 0)) for c in range(min(n_columns, last + 1))]
+            out.append(" | ".join(line).rstrip())
     return out
 
 
