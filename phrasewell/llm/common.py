@@ -99,7 +99,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: every round is two shuffles on
     edges that already exist, the number of rounds is logarithmic in the longest
     path, and no node's neighbours are ever gathered on one row.  Loops, repeated
-    edges and edges with a null end are ignored.
+    edges and edges with a null end are ignored.  Groups that aren't finished
+    after max_rounds are an error, never a result.
     """
     spark = edges.sparkSession
     current = materialize(
@@ -121,11 +122,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         following = materialize(
             small.unionAll(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct(), "edges"
         )
-        row = following.agg(F.count("*"), F.sum(F.hash("v", "u").cast("long"))).first()
+        # Equal edges: as many, and two independent 64-bit hashes of them agree.
+        total = F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))
+        row = tuple(following.agg(F.count("*"), total, F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
         release(current)
         current = following
-        if (row[0], row[1]) == signature:
+        if row == signature:
             break
-        signature = (row[0], row[1])
+        signature = row
+    else:
+        raise RuntimeError(f"components: edges still change after {max_rounds} rounds")
     roots = current.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())

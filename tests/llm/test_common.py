@@ -29,6 +29,12 @@ def test_components_equal_a_search(spark):
         assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
 
 
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(50)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        common.components(path, 1)
+
+
 def test_tables_are_shared_and_released(spark, tmp_path):
     df = common.materialize(spark.range(5), "x")
     assert df.count() == 5 and df._phrasewell_path.startswith(spark.conf.get("spark.checkpoint.dir"))
