@@ -20,7 +20,10 @@ on ids, sources and ``SEED``, not on partitions.
 Defined results: rows with the same id and source are one unit, taken or left
 together.  A null id or source is a value of its own.  Null texts have no words;
 a source without words is taken whole (it can't shift the mix).  A source that
-the weights don't name, or give no weight, is left out.
+the weights don't name, or give no weight, is left out.  A very long text is a
+unit like others, with all its words.  Units alike in documents and words are
+exchanged by the draw alone.  An empty table gives no rows; the filter keeps
+extra columns, whatever their names.
 """
 
 from __future__ import annotations

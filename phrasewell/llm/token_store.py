@@ -14,8 +14,9 @@ a payload starts, so a block can be decoded alone.
 
 Defined results: null, empty texts have 0 tokens, an empty payload and no
 blocks; ids are kept as they are, null included; rows that repeat are encoded
-each time.  Texts are encoded whole; the strings of special tokens are ordinary
-text.
+each time.  Texts are encoded whole, very long ones, too; the strings of special
+tokens are ordinary text.  Ids that tie at the percentile need the same width.  An
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -80,3 +80,53 @@ def test_tiny_source_does_not_bound_the_draw(full, prose, weights):
     rows = rows_of(prose, (300, 300)) + [(9000, "a b", "tiny")]
     got = [r["doc_id"] for r in C.mixture(full(rows), weights).collect()]
     assert 9000 in got and len(got) > 0.9 * len(rows)
+
+
+def outcomes(p, words):
+    """{decided values: chance} of the flight and landing, both ways of every step followed; directions from a singular value decomposition."""
+    out = {}
+
+    def both(p, u, chance, then):
+        ahead = min(((1 - x) / v if v > 0 else -x / v) for x, v in zip(p, u) if abs(v) > 1e-12)
+        back = min((x / v if v > 0 else (x - 1) / v) for x, v in zip(p, u) if abs(v) > 1e-12)
+        for way, share in ((ahead, back / (ahead + back)), (-back, ahead / (ahead + back))):
+            moved = [x + way * v for x, v in zip(p, u)]
+            then([0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x for x in moved], chance * share)
+
+    def flight(p, chance):
+        active = [k for k, x in enumerate(p) if 0 < x < 1][:3]
+        if len(active) < 3:
+            return landing(p, chance)
+        a = np.array([[1.0] * 3, [words[k] for k in active]])
+        u = np.zeros(len(p))
+        u[active] = np.linalg.svd(a)[2][-1]
+        both(p, u, chance, flight)
+
+    def landing(p, chance):
+        active = [k for k, x in enumerate(p) if 0 < x < 1]
+        if len(active) == 2:
+            u = np.zeros(len(p))
+            u[active] = 1, -1
+            return both(p, u, chance, landing)
+        for k in active:
+            landing([*p[:k], 1.0, *p[k + 1 :]], chance * p[k])
+            return landing([*p[:k], 0.0, *p[k + 1 :]], chance * (1 - p[k]))
+        key = tuple(map(int, p))
+        out[key] = out.get(key, 0) + chance
+
+    flight(list(p), 1.0)
+    return out
+
+
+def test_draws_equal_all_ways_of_the_steps():
+    words, p, n = [3.0, 10.0, 4.0, 7.0, 1.0, 6.0], [0.3, 0.5, 0.8, 0.4, 0.25, 0.6], 6000
+    want = outcomes(p, words)
+    assert sum(want.values()) == pytest.approx(1) and len(want) > 5
+    assert [sum(c for key, c in want.items() if key[k]) for k in range(6)] == pytest.approx(p)
+    found = {}
+    for k in range(n):
+        rng = np.random.default_rng(k)
+        key = tuple(C.landing(C.flight(np.array(p), np.ones(6), np.array(words), rng), np.ones(6), np.array(words), rng).astype(int).tolist())
+        found[key] = found.get(key, 0) + 1
+    assert set(found) <= set(want)
+    assert all(found.get(key, 0) / n == pytest.approx(c, abs=5 * (c * (1 - c) / n) ** 0.5 + 1e-9) for key, c in want.items())
