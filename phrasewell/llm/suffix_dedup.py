@@ -21,14 +21,16 @@ characters, lower-cased.
 
 Sorting is a range partition of packed numpy records: a row that Spark moves is
 a block of records that go from one chunk of strings to one range, so nothing is
-spent on single suffixes in the JVM.  Equal triples always meet in one range.
+spent on single suffixes in the JVM, and bytes of equal significance stand
+together, so that shuffles compress.  Equal triples always meet in one range.
 
 Defined results: a span is (doc_id, first_word, n_words, removable_words), the
 last being how many of its words lie in a passage that occurs earlier, in a
 document with a smaller id or before in the same one.  Documents with a null id
 or a null, empty or wordless text are not searched.  Rows with the same id and
 words are one document.  Among different texts with the same id any may count
-as the earlier.
+as the earlier.  A very long text is searched whole.  An empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +81,15 @@ def selected(h: np.ndarray) -> np.ndarray:
 
 
 def _cell(x: np.ndarray) -> bytes:
-    return x.tobytes()
+    """The values of an array (or its rows), all first bytes first: what is constant or small in them compresses away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _values(cell: bytes, kind, width: int = 1) -> np.ndarray:
+    """The array that _cell() stored; width: values in a row."""
+    size = np.dtype(kind).itemsize * width
+    x = np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(size, -1).T).view(kind)
+    return x if width > 1 else x[:, 0]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -131,11 +141,11 @@ def _by_bucket(bucket: np.ndarray, *columns: np.ndarray):
         yield int(sorted_[a]), [c[a:b] for c in columns]
 
 
-def _read(cells, kind) -> tuple[np.ndarray, np.ndarray]:
-    """(values of all cells, number of values in each cell)."""
-    cells = cells.to_pylist()
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(cells), kind), np.array([len(c) // size for c in cells], np.int64)
+def _read(cells, kind, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all cells, number of values (or rows of width values) in each cell)."""
+    parts = [_values(c, kind, width) for c in cells.to_pylist()]
+    none = np.zeros((0, width) if width > 1 else 0, kind)
+    return np.concatenate(parts) if parts else none, np.array([len(x) for x in parts], np.int64)
 
 
 def repeated_seeds(uniq: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def regions(batches):
                 if whole[k] != hs[k + w.first]:
                     continue  # another text with the same id
                 n = int(w.bounds[k + 1] - w.bounds[k])
-                place = np.sort(np.frombuffer(b"".join(parts[k + w.first]), np.int32)).astype(np.int64)
+                place = np.sort(np.concatenate([_values(x, np.int32) for x in parts[k + w.first]])).astype(np.int64)
                 a, b = np.maximum(place - (WINDOW - 1), 0), np.minimum(place + SEED + WINDOW - 1, n)
                 cut = np.flatnonzero(a[1:] > b[:-1])
                 for first, end in zip(a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist()):
@@ -214,7 +224,7 @@ def chunks(batches):
 
     for batch in batches:
         for id, h, first, code, prints in zip(*(c.to_pylist() for c in batch.columns)):
-            code, prints = np.frombuffer(code, np.int32), np.frombuffer(prints, _U)
+            code, prints = _values(code, np.int32), _values(prints, _U)
             room = -(-(len(code) + 3) // 3) * 3
             held.append((id, h, first, room, code, prints))
             size += room
@@ -247,7 +257,7 @@ def _ranges(strings: DataFrame, level: int, n: int) -> np.ndarray:
     def some(batches):
         for batch in batches:
             for chunk, codes in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-                codes = np.frombuffer(codes, _kind(level))
+                codes = _values(codes, _kind(level))
                 first = int(V.mix(np.array([chunk], np.int64).view(_U))[0] % _U(step))  # differs by chunk, which may be shorter than a step
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(codes, level, np.arange(first, len(codes), step))[:, 0].view(np.int64))], names=["key"])
 
@@ -274,7 +284,7 @@ def _name_triples(strings: DataFrame, level: int, bounds: np.ndarray) -> DataFra
     def scatter(batches):
         for batch in batches:
             for chunk, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = np.frombuffer(codes, _kind(level))
+                codes = _values(codes, _kind(level))
                 at = np.arange(len(codes))
                 at = at[at % 3 != 0]
                 keys = _keys(codes, level, at)
@@ -284,7 +294,7 @@ def _name_triples(strings: DataFrame, level: int, bounds: np.ndarray) -> DataFra
 
     def name(key, t):
         row, chunk, offs = _offsets(t)
-        keys = _read(t["keys"], _U)[0].reshape(len(offs), -1)
+        keys = _read(t["keys"], _U, 1 if level == 0 else 3)[0].reshape(len(offs), -1)
         order = np.lexsort(keys.T[::-1]) if keys.shape[1] > 1 else np.argsort(keys[:, 0], kind="stable")
         keys = keys[order]
         new = np.ones(len(keys), bool)
@@ -349,7 +359,7 @@ def _ranked_parts(level: int, last: bool, bounds: np.ndarray):
     def parts(key, t):
         cells = t["codes"].to_pylist()
         whole = next(k for k, c in enumerate(cells) if c is not None)
-        codes = np.frombuffer(cells[whole], _kind(level))
+        codes = _values(cells[whole], _kind(level))
         n = len(codes)
         known = t.filter(pa.compute.is_valid(t["offs"]))
         _, _, offs = _offsets(known)
@@ -361,7 +371,7 @@ def _ranked_parts(level: int, last: bool, bounds: np.ndarray):
             offs = np.where(offs < n1, 3 * offs + 1, 3 * (offs - n1 - 1) + 2)
         rank = np.zeros(n + 2, _U)
         rank[offs] = values
-        prints = np.frombuffer(t["prints"].to_pylist()[whole], _U) if level == 0 else None
+        prints = _values(t["prints"].to_pylist()[whole], _U) if level == 0 else None
         at = np.flatnonzero(prints) if level == 0 else np.arange(n)
         third = at % 3
         a = np.where(third == 2, rank[at + 2], rank[at + 1])
@@ -371,11 +381,12 @@ def _ranked_parts(level: int, last: bool, bounds: np.ndarray):
         keys = np.stack((x[at], x[at + 1]), axis=1)
         columns = [at.astype(np.int32), keys, a, b]
         if level == 0:
-            starts = np.frombuffer(t["at"].to_pylist()[whole], np.int64)
-            ids = np.frombuffer(t["ids"].to_pylist()[whole], np.int64)
+            starts = _values(t["at"].to_pylist()[whole], np.int64)
+            ids = _values(t["ids"].to_pylist()[whole], np.int64)
             sums = np.zeros(n + 1, _U)
             np.cumsum(V.mix(codes.astype(_U)) * V.powers(V.BASE, n), out=sums[1:])
-            coarse = V.sequence_hash(sums, at, at + MIN_WORDS)
+            # Neighbours that differ in it differ in their codes; others may, too: a few bits are enough.
+            coarse = V.sequence_hash(sums, at, at + MIN_WORDS).astype(np.uint16)
             columns += [prints[at], ids[np.searchsorted(starts, at, side="right") - 1], coarse]
         bucket = np.searchsorted(bounds, range_key, side="right")
         chunk = key[0].as_py()
@@ -388,7 +399,7 @@ def _ranked_parts(level: int, last: bool, bounds: np.ndarray):
 def _merge(level: int):
     def merge(key, t):
         row, chunk, offs = _offsets(t)
-        keys = _read(t["keys"], _kind(level))[0].reshape(-1, 2).astype(_U)
+        keys = _read(t["keys"], _kind(level), 2)[0].astype(_U)
         order = merge_order(keys, offs, _read(t["a"], _U)[0], _read(t["b"], _U)[0])
         if level:
             rank = np.empty(len(order), _U)
@@ -397,7 +408,7 @@ def _merge(level: int):
         prints, ids = _read(t["prints"], _U)[0][order], _read(t["ids"], np.int64)[0][order]
         row, offs = row[order], offs[order]
         # Words may share a code: neighbours alike in their codes are told apart by their words.
-        coarse = _read(t["coarse"], _U)[0][order]
+        coarse = _read(t["coarse"], np.uint16)[0][order]
         alike = np.concatenate(([0], np.cumsum(coarse[1:] != coarse[:-1])))
         finer = np.lexsort((prints, alike))
         prints, ids, row, offs, alike = prints[finer], ids[finer], row[finer], offs[finer], alike[finer]
@@ -431,7 +442,7 @@ def _covered(starts: np.ndarray, n: int) -> np.ndarray:
 def _spans(t: pa.Table) -> pa.Table:
     cells = t["codes"].to_pylist()
     whole = next(k for k, c in enumerate(cells) if c is not None)
-    meta = {name: np.frombuffer(t[name].to_pylist()[whole], np.int64) for name in ("ids", "hs", "firsts", "at")}
+    meta = {name: _values(t[name].to_pylist()[whole], np.int64) for name in ("ids", "hs", "firsts", "at")}
     known = t.filter(pa.compute.is_valid(t["offs"]))
     if not known.num_rows:
         return _SPANS.empty_table()

@@ -91,18 +91,28 @@ def test_merge_order_sorts_suffixes():
 
 def test_passages_that_differ_in_words_of_one_code_are_told_apart():
     n = 6
-    u = lambda x: [np.array(x, np.uint64).tobytes()]
+    u = lambda x, kind=np.uint64: [S._cell(np.array(x, kind))]
     t = pa.table(
         {
-            "bucket": [0], "chunk": [5], "offs": [np.arange(1, 3 * n, 3, dtype=np.int32).tobytes()], "keys": [np.ones((n, 2), np.int32).tobytes()],
-            "a": u(range(n)), "b": u(range(n)), "prints": u([7, 8, 7, 8, 7, 9]), "ids": [np.arange(n).tobytes()], "coarse": u([3] * n),
+            "bucket": [0], "chunk": [5], "offs": u(range(1, 3 * n, 3), np.int32), "keys": [S._cell(np.ones((n, 2), np.int32))],
+            "a": u(range(n)), "b": u(range(n)), "prints": u([7, 8, 7, 8, 7, 9]), "ids": u(range(n), np.int64), "coarse": u([3] * n, np.uint16),
         }
     )
     out = S._merge(0)((pa.scalar(0),), t).to_pylist()
-    got = dict(zip(np.frombuffer(out[0]["offs"], np.int32).tolist(), np.frombuffer(out[0]["ranks"], np.uint64).tolist()))
+    got = dict(zip(S._values(out[0]["offs"], np.int32).tolist(), S._values(out[0]["ranks"], np.uint64).tolist()))
     assert got == {1: 1, 7: 0, 13: 0, 4: 1, 10: 0}  # 1 marks the first of its passage
 
 
+def test_cells_round_trip():
+    rng = np.random.default_rng(1)
+    for kind, width in ((np.int32, 1), (np.uint64, 1), (np.uint16, 1), (np.int64, 1), (np.int32, 2), (np.uint64, 3)):
+        for n in (0, 1, 5, 300):
+            x = rng.integers(0, 60_000, (n, width)).astype(kind) if width > 1 else rng.integers(0, 60_000, n).astype(kind)
+            assert (S._values(S._cell(x), kind, width) == x).all() and S._values(S._cell(x), kind, width).shape == x.shape
+            both, sizes = S._read(pa.array([S._cell(x), S._cell(x[:1])], pa.binary()), kind, width)
+            assert (both == np.concatenate((x, x[:1]))).all() and sizes.tolist() == [n, min(n, 1)]
+
+
 def test_sequence_hash_doesn_t_depend_on_the_place():
     (w,) = V.slices(pa.array(["x a b c y a b c"]), V.ALNUM)
     sums = V.prefix_sums(w)
