@@ -71,6 +71,12 @@ def intervals(groups: Column, n_terms: Column) -> Column:
     return F.transform(groups[0], chain)
 
 
+def score_bound(groups: Column) -> Column:
+    """The most that an interval can score: each term's heaviest hit, gaps aside."""
+    heaviest = lambda group: F.array_max(F.transform(group, lambda h: h["weight"]))
+    return F.aggregate(groups, F.lit(0.0), lambda total, group: total + heaviest(group))
+
+
 def best_scores(matched: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): the best interval's score, of documents with one of a score above 0."""
     gap = lambda x: x["last"] - x["first"] - (F.col("n_terms") - 1)

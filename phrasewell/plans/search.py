@@ -11,7 +11,7 @@ from ..functions import analysis
 from ..functions.analysis import Analyzer
 from ..functions.scoring import term_bm25
 from ..operators.expand import expand, looked_up, terms_table
-from ..operators.phrase import best_scores, candidates, complete, intersect
+from ..operators.phrase import best_scores, candidates, complete, intersect, score_bound
 from .query import Query, analyze, parse
 
 #: So many expansions at most are looked up by value, so that the filter reaches the scan.
@@ -50,8 +50,8 @@ def weighted(expanded: DataFrame, tables: Tables, postings: DataFrame | None = N
     return found.withColumn("weight", weight)
 
 
-def scores(spark: SparkSession, tables: Tables, queries: dict[str, Query], push: bool = True) -> DataFrame:
-    """(query_id, doc_id, score) of all matches of all queries."""
+def scores(spark: SparkSession, tables: Tables, queries: dict[str, Query], push: bool = True, top_k: int = 0) -> DataFrame:
+    """(query_id, doc_id, score) of all matches of all queries; with top_k, of one query's that can be among so many best."""
     queries = {name: q for name, q in queries.items() if q.terms}
     expanded = expand(terms_table(spark, queries), looked_up(tables.vocab, queries))
     postings = tables.postings
@@ -77,7 +77,23 @@ def scores(spark: SparkSession, tables: Tables, queries: dict[str, Query], push:
         hits = weighted(expanded, tables, postings).join(pairs, ["query_id", "doc_id"], "left_semi")
     else:
         hits = weighted(expanded, tables, postings)
-    return best_scores(intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight")))
+    matched = intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight"))
+    if top_k and any(len(q.terms) > 1 for q in queries.values()):
+        matched = promising(matched, top_k)
+    return best_scores(matched)
+
+
+def promising(matched: DataFrame, top_k: int) -> DataFrame:
+    """The documents whose score can be among the top_k: positions of others needn't be looked at.
+
+    A score is at most the sum of each term's heaviest hit.  The top_k documents
+    by that bound are scored; what can't reach the least of their scores is left.
+    """
+    least = score_bound(F.col("groups"))
+    bounded = matched.withColumn("bound", least)
+    first = best_scores(bounded.orderBy(F.col("bound").desc(), "doc_id").limit(top_k).drop("bound"))
+    floor = first.agg(F.when(F.count("*") >= top_k, F.min("score")).alias("floor"))
+    return bounded.crossJoin(F.broadcast(floor)).where("floor is null or bound >= floor * (1 - 1e-9)").drop("bound", "floor")
 
 
 def phrases(spark: SparkSession, tables: Tables, texts: DataFrame, id_col: str, text_col: str, slop: int = 0, analyzer: Analyzer = Analyzer()) -> DataFrame:
@@ -119,7 +135,9 @@ def hydrate(ranked: DataFrame, documents: DataFrame, top_k: int = 0) -> DataFram
 
 def search(spark: SparkSession, tables: Tables, query: str, analyzer: Analyzer = Analyzer(), top_k: int = 0, push: bool = True) -> DataFrame:
     """(query_id, doc_id, score) of one query, its text being the id."""
-    return top(scores(spark, tables, parse_all({query: query}, analyzer), push), top_k, single=True)
+    if top_k < 0:
+        raise ValueError("top_k must not be negative")
+    return top(scores(spark, tables, parse_all({query: query}, analyzer), push, top_k), top_k, single=True)
 
 
 def search_many(

@@ -110,6 +110,15 @@ def test_top_k_takes_the_best_and_breaks_ties_by_id(spark, tables, words):
         plans.top(tables[False].vocab, -1)
 
 
+def test_skipping_by_bounds_changes_nothing(spark, tables, words):
+    for query in MATRIX[1::5]:
+        want = sorted(brute(words, query).items(), key=lambda x: (-round(x[1], 9), x[0]))
+        for k in (1, 3, 100):
+            assert list(found(spark, tables, query, top_k=k)) == [d for d, _ in want[:k]], query
+    with pytest.raises(ValueError):
+        plans.search(spark, tables[False], "er", PLAIN, -1)
+
+
 def test_pushing_tokens_down_changes_nothing(spark, tables):
     for query in ('"er~1 tion~2"~2', "zzz"):
         with_, without = (sorted(map(tuple, plans.search(spark, tables[False], query, PLAIN, 0, push).collect())) for push in (True, False))
