@@ -177,9 +177,9 @@ def simhash(h: np.ndarray, bounds: np.ndarray, lanes: int = 1) -> np.ndarray:
     starts = bounds[rows][owner] + 255 * (np.arange(len(owner)) - begin[owner])
     half = size[rows].astype(np.int64)[:, None]
     for lane in range(lanes):
-        x = mix(h + np.uint64((0xA0761D6478BD642F * (lane + 1)) & _MASK))
+        x = mix(h + np.uint64((0xA0761D6478BD642F * (lane + 1)) & _MASK)).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            part = np.add.reduceat(_SPREAD[((x >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)], starts)
+            part = np.add.reduceat(_SPREAD[x[:, k]], starts)
             counts = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int64), begin, axis=0)
             bits = np.packbits(2 * counts > half, axis=1, bitorder="little")[:, 0]
             out[rows, lane] |= bits.astype(np.uint64) << np.uint64(8 * k)
