@@ -22,7 +22,8 @@ def tables(spark, full, prose, odd, tmp_path):
     rows += [(340 + k, f"{prose.text(60)} {items[k][1]} {prose.text(5)}") for k in range(5)]
     rows += [(360 + k, "junk spam " * 40) for k in range(6)]
     labels = [(r[0], 1, 0) for r in rows if r[0] < 360] + [(360, 0, 0), (361, 0, 1)]
-    odd = [r for r in odd if r[0] != 5]  # as many words as all others together
+    # The very long text has a source of its own: it can't be halved to meet a target.
+    odd = [(*r, "long") if r[0] == 5 else r for r in odd]
     full(rows + odd).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -64,7 +65,7 @@ def test_stages(spark, tables, tmp_path):
                 if r["source"] in total:
                     total[r["source"]] += len(r["text"].split())
             most = min(total[s] / total[s] ** cube.ALPHA for s in total)
-            assert all(by[s] == pytest.approx(most * total[s] ** cube.ALPHA, abs=250) for s in by)
+            assert all(by[s] == pytest.approx(most * total[s] ** cube.ALPHA, abs=250) for s in by if s != "long")
         before = after
     decode = token_store.encoding(tokenizer_path(token_store.VOCABULARY)).decode
     assert sorted((r["doc_id"], decode(token_store.unpack(bytes(r["payload"])))) for r in docs.collect()) == sorted(before)
