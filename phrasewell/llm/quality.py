@@ -200,16 +200,17 @@ def sums(array, ratio: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.nda
     return total, size
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, n_name: str = "n_grams", score_name: str = "score") -> DataFrame:
-    """docs with two more columns: the number of n-grams, and the score (null without n-grams)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def scored(docs: DataFrame, ratio: np.ndarray, n_name: str = "n_grams", score_name: str = "score", toxic: np.ndarray | None = None) -> DataFrame:
+    """docs with two more columns: the number of n-grams, and the score (null without n-grams, or with a toxic word)."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratio, np.zeros(0, np.uint64) if toxic is None else toxic))
     cell = free(docs, "quality_cell")
 
     @F.arrow_udf("struct<n: bigint, score: double>")
     def score(text: pa.Array, part: pa.Array) -> pa.Array:
-        total, size = sums(text, shared.value, part.to_numpy(zero_copy_only=False))
+        ratio, toxic = shared.value
+        total, size = sums(text, ratio, part.to_numpy(zero_copy_only=False))
         value = total / np.maximum(size, 1) / SCALE
-        return pa.StructArray.from_arrays([pa.array(size), pa.array(value, mask=size == 0)], names=["n", "score"])
+        return pa.StructArray.from_arrays([pa.array(size), pa.array(value, mask=(size == 0) | has_toxic(text, toxic))], names=["n", "score"])
 
     out = docs.withColumn(cell, score(F.col("text"), fold(F.col("doc_id"))))
     return out.withColumns({n_name: F.col(f"{cell}.n"), score_name: F.col(f"{cell}.score")}).drop(cell)
@@ -244,26 +245,12 @@ def threshold_of(docs: DataFrame, labels: DataFrame, ratio: np.ndarray) -> float
     return best_threshold(found[True], found[False]) / STEPS
 
 
-def _clean(docs: DataFrame, labels: DataFrame, of: DataFrame) -> DataFrame:
-    """The rows of docs without toxic words, learned from the table of."""
-    toxic = toxic_words(of, labels)
-    if not len(toxic):
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(toxic)
-
-    @F.arrow_udf("boolean")
-    def is_toxic(text: pa.Array) -> pa.Array:
-        return pa.array(has_toxic(text, shared.value))
-
-    return docs.where(~is_toxic(F.col("text")))
-
-
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """The kept rows of docs, with docs's columns; a threshold that isn't given is learned."""
     n, s = free(docs, "quality_n"), free(docs, "quality_score")
     ratio = ratios(docs, labels)
     least = threshold_of(docs, labels, ratio) if threshold is None else threshold
-    out = scored(_clean(docs, labels, docs), ratio, n, s)
+    out = scored(docs, ratio, n, s, toxic_words(docs, labels))
     return out.where(F.col(s) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -271,5 +258,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float | None =
     """(doc_id, n_grams, score) of each kept document."""
     ratio = ratios(docs, labels)
     least = threshold_of(docs, labels, ratio) if threshold is None else threshold
-    out = scored(_clean(docs.select("doc_id", "text"), labels, docs), ratio)
+    out = scored(docs.select("doc_id", "text"), ratio, toxic=toxic_words(docs, labels))
     return out.where(F.col("score") >= least).select("doc_id", "n_grams", F.round("score", 6).alias("score"))
