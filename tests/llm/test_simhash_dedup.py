@@ -92,3 +92,45 @@ def test_bucket_edges_connect_the_same(small):
     sig = np.repeat(rng.integers(0, 2**63, (12, 2)).astype(np.uint64), 4, axis=0)
     pairs = S.bucket_edges(np.repeat([0, 1], 24), np.arange(48), sig, small=small)
     assert {a // 4 for a, b in pairs.tolist()} == set(range(12)) and all(a // 4 == b // 4 for a, b in pairs.tolist())
+
+
+def test_every_pair_up_to_the_threshold_is_linked(documents, prose):
+    rows = []
+    for k in range(400):
+        text = prose.text(60)
+        rows += [(2 * k, text), (2 * k + 1, prose.edited(text, 0.12))]
+    want = brute(rows)
+    far = [S.differing(*S.signatures(pa.array([rows[i - 1][1], rows[i][1]]))[0]) for i in range(1, 800, 2)]
+    assert sum(18 <= d <= S.MAX_BITS for d in far) > 50
+    assert dict(map(tuple, S.near_duplicates(documents(rows)).collect())) == want
+
+
+@pytest.mark.parametrize("most", [8, 22])
+def test_bands_connect_what_all_pairs_connect(most, monkeypatch):
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 2**63, (150, 2)).astype(np.uint64)
+    sig = np.concatenate((sig, sig, sig, sig[:20]))
+    for k in range(150, len(sig)):
+        for bit in rng.choice(128, int(rng.integers(most - 3, most + 4)), replace=False):
+            sig[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    for split in (len(sig), 200, len(sig) - 3):
+        label = np.arange(len(sig))
+        for a in range(split):
+            b = np.flatnonzero(S.differing(sig, sig[a]) <= most)
+            b = b if split == len(sig) else b[b >= split]
+            S.join_labels(label, np.full(len(b), a), b)
+        assert split < len(sig) or 150 < len(set(label.tolist())) < len(sig) - 40
+        for searched in (1 << 20, 0):
+            monkeypatch.setattr(S, "PAIRS_SEARCHED", searched)
+            got = S.band_links(sig, split, most)
+            if searched or split == len(sig):
+                assert got.tolist() == label.tolist()
+            else:  # a search links pairs of the same band as well
+                assert all(got[k] == got[x] for k, x in enumerate(label.tolist()))
+
+
+def test_bands_and_links_across_them(documents, prose, monkeypatch):
+    monkeypatch.setattr(S, "FEW_ROWS", 20)
+    text = prose.text(80)
+    rows = [(k, prose.edited(text, 0.06 * (k % 3))) for k in range(60)] + [(100 + k, prose.text(50)) for k in range(80)]
+    assert dict(map(tuple, S.near_duplicates(documents(rows).repartition(3)).collect())) == brute(rows)
