@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ STOP_WORDS = frozenset(
     "a and are as at be but by for if in into is it no not of on or s such t that the their then there these they "
     "this to was will with www".split()
 )
+#: Words that Python groups or stems at once (some 200 bytes of memory each), and stems that it remembers.
+WORDS_AT_ONCE, STEMS_KEPT = 100_000, 100_000
 #: Word boundaries as Unicode's annex 29 has them.  What extends a character stays with it.
 _E = r"\p{M}\p{Cf}&&[^\x{200B}]"
 _SINGLES = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}"
@@ -78,13 +80,37 @@ def kept_words(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(*sorted(analyzer.stop_words)))
 
 
+def _slices(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Ranges of lists of WORDS_AT_ONCE words at most; a longer list is one of its own."""
+    ends, a = np.asarray(lists.offsets), 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, int(ends[a]) + WORDS_AT_ONCE, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _stems(words: pa.Array, known: dict[str, str]) -> pa.Array:
+    """The stems of words; known: those of words seen before, some of them."""
+    if len(known) > STEMS_KEPT:
+        known.clear()
+    out = []
+    for w in words.to_pylist():
+        if (x := known.get(w)) is None:
+            x = known[w] = stem(w)
+        out.append(x)
+    return pa.array(out, pa.string())
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def stem_lists(words: pa.Array) -> pa.Array:
-    """Lists of words with each word stemmed; Python sees a batch's different words alone."""
-    flat = words.flatten().dictionary_encode()
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
-    return pa.ListArray.from_arrays(words.offsets.cast(pa.int32()) if words.offset == 0 else pa.array(np.asarray(words.offsets) - np.asarray(words.offsets)[0], pa.int32()), stems.take(flat.indices))
+    """Lists of words with each word stemmed; Python sees the different words alone, of some lists at a time."""
+    known: dict[str, str] = {}
+    parts = [pa.array([], pa.string())]
+    for a, b in _slices(words):
+        flat = words.slice(a, b - a).flatten().dictionary_encode()
+        parts.append(_stems(flat.dictionary, known).take(flat.indices))
+    ends = np.asarray(words.offsets)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.concat_arrays(parts))
 
 
 def tokens(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
@@ -98,67 +124,68 @@ def occurrences(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text_col), analyzer)).alias("pos", "token"))
 
 
-def _analyzed(batches):
-    """Rows of indexed() from batches of (doc_id, tokens): grouped within each batch, a document being in one."""
+def _grouped(ids: pa.Array, lists: pa.ListArray, known: dict[str, str] | None) -> pa.RecordBatch:
+    """Rows of indexed() of some documents; known: for _stems(), None if words aren't stemmed."""
+    bounds = np.asarray(lists.offsets, np.int64)
+    bounds = bounds - bounds[0]
+    flat = lists.flatten().dictionary_encode()
+    code, names = np.asarray(flat.indices, np.int64), flat.dictionary
+    if known is not None:
+        stems = _stems(names, known).dictionary_encode()
+        code, names = np.asarray(stems.indices, np.int64)[code], stems.dictionary
+    width = len(names).bit_length()
+    key = np.repeat(np.arange(len(lists)), np.diff(bounds)) << width | code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    pos = order - bounds[key >> width]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    distinct = np.bincount(key[at] >> width, minlength=len(lists))
+    ends = pa.array(np.concatenate(([0], np.cumsum(distinct))), pa.int32())
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(pos, pa.int32()))
+    own = names.take(pa.array(key[at] & ((1 << width) - 1)))
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(np.diff(bounds)), pa.array(distinct, pa.int64()), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, places)],
+        names=["doc_id", "len", "n_distinct", "tokens", "positions"],
+    )
+
+
+def _analyzed(batches: Iterable[pa.RecordBatch], stemming: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of indexed() from batches of (doc_id, words), of some documents at a time."""
+    known: dict[str, str] | None = {} if stemming else None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         ids, lists = batch.column(0), batch.column(1)
-        bounds = np.asarray(lists.offsets, np.int64)
-        bounds = bounds - bounds[0]
-        size = np.diff(bounds)
-        flat = lists.flatten().dictionary_encode()
-        code = np.asarray(flat.indices, np.int64)
-        doc = np.repeat(np.arange(len(size)), size)
-        pos = np.arange(len(code)) - np.repeat(bounds[:-1], size)
-        order = np.lexsort((code, doc))
-        doc, code, pos = doc[order], code[order], pos[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(code)))
-        distinct = np.bincount(doc[at], minlength=len(size))
-        of = doc[at]
-        # One more row for each document, without a token: that of its lengths.
-        none = pa.nulls(len(size), pa.string())
-        places = pa.ListArray.from_arrays(pa.array(np.append(at, len(code)), pa.int32()), pa.array(pos, pa.int32()))
-        own = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(size) + 1)), pa.int32()), flat.dictionary.take(pa.array(code[at])))
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(np.concatenate([of, np.arange(len(size))]))),
-                pa.concat_arrays([flat.dictionary.take(pa.array(code[at])).cast(pa.string()), none]),
-                pa.array(np.concatenate([tf, np.zeros(len(size), np.int64)])),
-                pa.array(np.concatenate([distinct[of], distinct])),
-                pa.concat_arrays([places, pa.nulls(len(size), places.type)]),
-                pa.array(np.concatenate([np.zeros(len(of), np.int64), size]), mask=np.arange(len(of) + len(size)) < len(of)),
-                pa.concat_arrays([pa.nulls(len(of), own.type), own]),
-            ],
-            names=["doc_id", "token", "tf", "n_distinct", "positions", "len", "tokens"],
-        )
+        for a, b in _slices(lists):
+            yield _grouped(ids.slice(a, b - a), lists.slice(a, b - a), known)
 
 
 def indexed(docs: DataFrame, analyzer: Analyzer = Analyzer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings and lengths in one pass, of which nothing is shuffled.
 
-    (doc_id, token, tf, n_distinct, positions, len, tokens): a row for each token
-    of a document, with null len and tokens, and one for the document itself
-    (also if it has no tokens), with a null token.  Each row of docs is a document.
+    (doc_id, len, n_distinct, tokens, positions): a row for each row of docs, in
+    their order, also if it has no tokens; its different tokens, and for each of
+    them its positions.  What Python holds beyond a batch of lists of words
+    depends on WORDS_AT_ONCE, not on how many documents the batch has.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col), analyzer).alias("tokens"))
-    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("token", StringType())])
-    schema.add("tf", LongType()).add("n_distinct", LongType()).add("positions", ArrayType(IntegerType()))
-    schema.add("len", LongType()).add("tokens", ArrayType(StringType()))
-    return rows.mapInArrow(_analyzed, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), kept_words(F.col(text_col), analyzer).alias("words"))
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType)]).add("len", LongType()).add("n_distinct", LongType())
+    schema.add("tokens", ArrayType(StringType())).add("positions", ArrayType(ArrayType(IntegerType())))
+    stemming = analyzer.stem
+    return rows.mapInArrow(lambda batches: _analyzed(batches, stemming), schema)
 
 
 def postings(indexed: DataFrame) -> DataFrame:
     """(token, doc_id, tf, n_distinct, positions), positions ascending."""
-    return indexed.where("token is not null").select("token", "doc_id", "tf", "n_distinct", "positions")
+    each = indexed.select("doc_id", "n_distinct", F.explode(F.arrays_zip("tokens", "positions")).alias("x"))
+    return each.select(
+        F.col("x.tokens").alias("token"), "doc_id", F.size("x.positions").cast("bigint").alias("tf"), "n_distinct", F.col("x.positions").alias("positions")
+    )
 
 
 def doc_stats(indexed: DataFrame) -> DataFrame:
     """(doc_id, len, n_distinct, tokens) of every document, also of one without tokens."""
-    return indexed.where("token is null").select("doc_id", "len", "n_distinct", "tokens")
+    return indexed.select("doc_id", "len", "n_distinct", "tokens")
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
     <dir>/manifest-<version>.json           the live batches; the highest version counts
     <dir>/<batch>/documents  doc_id, content; ranges of doc_id, sorted
-    <dir>/<batch>/doc_stats  doc_id, len, n_distinct, tokens; sorted
+    <dir>/<batch>/doc_stats  doc_id, len, n_distinct, tokens; in the order of files of documents, or sorted.
+                             One that comes of documents has the tokens' positions, too, which only postings are made of
     <dir>/<batch>/postings   token, doc_id, tf, n_distinct, positions; ranges of token, sorted
     <dir>/<batch>/vocab      n_chars, token, df: what the batch adds to (or takes from) a token's df; sorted
     <dir>/<batch>/stats      n_docs, total_len: likewise, of the corpus
@@ -48,6 +49,8 @@ SMALL_BATCHES = 16
 BROADCAST_IDS = 1_000_000
 #: Bytes of a file at least, if there is more than one.
 LEAST_BYTES = 1 << 20
+#: Bytes of postings that a task sorts at most: some 12 times as much in memory, so that it needn't spill.
+SORTED_BYTES = 12 << 20
 #: Manifests that stay.
 KEPT = 10
 _locks: dict[str, threading.RLock] = {}
@@ -158,9 +161,9 @@ class Store:
     def _name(self) -> str:
         return f"batch-{self.manifest['version']:06d}-{uuid.uuid4().hex[:8]}"
 
-    def _ranges(self, rows: DataFrame, size: int, *keys: str) -> DataFrame:
-        """rows sorted, in ranges of about bytes_per_file; fewer bytes are spread over the session's cores."""
-        files = max(1, -(-size // self.bytes_per_file), min(self.spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    def _ranges(self, rows: DataFrame, size: int, *keys: str, most: int = 1 << 62) -> DataFrame:
+        """rows sorted, in ranges of about bytes_per_file, or most if that is less; fewer bytes are spread over the session's cores."""
+        files = max(1, -(-size // min(self.bytes_per_file, most)), min(self.spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
         return (rows.repartitionByRange(files, *keys) if files > 1 else rows.coalesce(1)).sortWithinPartitions(*keys)
 
     def _bytes(self, batch: str, kind: str) -> int:
@@ -172,6 +175,17 @@ class Store:
         self._write(batch, "documents", self._ranges(docs, size, "doc_id"))
         return size
 
+    def _write_postings(self, batch: str, rows: DataFrame, size: int) -> None:
+        """Postings in sorted ranges.  What is shuffled and sorted has a column less: a document's length stands before the positions."""
+        rows = rows.select("token", "doc_id", F.concat(F.array(F.col("n_distinct").cast("int")), "positions").alias("x"))
+        rows = self._ranges(rows, size, "token", "doc_id", most=SORTED_BYTES)
+        tf = F.size("x") - 1
+        self._write(
+            batch,
+            "postings",
+            rows.select("token", "doc_id", tf.cast("bigint").alias("tf"), F.col("x")[0].cast("bigint").alias("n_distinct"), F.slice("x", F.lit(2), tf).alias("positions")),
+        )
+
     def _write_counts(self, batch: str, vocab: DataFrame, stats: DataFrame) -> list[str]:
         vocab = vocab.select(F.length("token").alias("n_chars"), "token", "df")
         self._write(batch, "vocab", vocab.sort("n_chars", "token"))
@@ -179,20 +193,14 @@ class Store:
         return ["vocab", "stats"]
 
     def _write_index(self, batch: str, analyzer: Analyzer) -> list[str]:
-        """The batch's tables that follow from its documents: they are analyzed once, into a table that is sorted then."""
+        """The batch's tables that follow from its documents: they are analyzed once, what that gives is sorted then."""
         indexed = analysis.indexed(self._read(batch, "documents"), analyzer, "doc_id", "content")
-        path = f"{self.dir}/{batch}/indexed"
-        indexed.write.parquet(path)
-        indexed = self.spark.read.schema(indexed.schema).parquet(path)
-        stats = analysis.doc_stats(indexed)
-        self._write(batch, "doc_stats", stats.sortWithinPartitions("doc_id"))
-        rows = analysis.postings(indexed)
-        self._write(batch, "postings", self._ranges(rows, self._bytes(batch, "indexed"), "token", "doc_id"))
+        self._write(batch, "doc_stats", indexed)
+        indexed = self.spark.read.schema(indexed.schema).parquet(f"{self.dir}/{batch}/doc_stats")
+        self._write_postings(batch, analysis.postings(indexed), self._bytes(batch, "doc_stats"))
         vocab = self._read(batch, "postings").groupBy("token").agg(F.count("*").alias("df"))
         sums = self._read(batch, "doc_stats").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
-        kinds = ["doc_stats", "postings", *self._write_counts(batch, vocab, sums)]
-        self._fs().delete(self._path(f"{batch}/indexed"), True)
-        return kinds
+        return ["doc_stats", "postings", *self._write_counts(batch, vocab, sums)]
 
     def append(self, docs: DataFrame, analyzer: Analyzer, own_ids: bool = False, stream: tuple[str, int] | None = None) -> str:
         """Add documents (doc_id, content) as a batch; stream: a checkpoint and the number of its micro-batch."""
@@ -300,9 +308,9 @@ class Store:
         names = [b["name"] for b in old]
         batch = self._name()
         size = self._write_documents(batch, self.live("documents", names).select("doc_id", "content"))
-        for kind, keys in (("postings", ("token", "doc_id")), ("doc_stats", ("doc_id",))):
-            rows = self.live(kind, names).select(*[f.split()[0] for f in SCHEMAS[kind].split(", ")])
-            self._write(batch, kind, self._ranges(rows, sum(self._bytes(n, kind) for n in names), *keys))
+        self._write_postings(batch, self.live("postings", names), sum(self._bytes(n, "postings") for n in names))
+        rows = self.live("doc_stats", names).select("doc_id", "len", "n_distinct", "tokens")
+        self._write(batch, "doc_stats", self._ranges(rows, sum(self._bytes(n, "doc_stats") for n in names), "doc_id"))
         # All deltas are folded into this batch; batches that stay keep their tables but not their deltas.
         read = self.manifest["batches"]
         self._write_counts(batch, self.vocab_counts().select("token", "df"), self.table("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")))

@@ -1,5 +1,8 @@
 """Word boundaries of many scripts, and tokens of odd texts."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +52,34 @@ def test_nothing_is_shuffled(spark, capsys):
     for table in (analysis.occurrences(docs), analysis.postings(analysis.indexed(docs)), analysis.doc_stats(analysis.indexed(docs))):
         table.explain()
         assert "Exchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("stemming", [False, True])
+def test_memory_does_not_grow_with_batches(stemming):
+    """Of a batch of many documents some are analyzed at a time; a long one, between empty ones, is whole."""
+    words = [f"word{k % 5003}s" for k in range(1_000_000)]
+    lists = [words[k : k + 200] for k in range(0, 600_000, 200)] + [[], words[: analysis.WORDS_AT_ONCE + 7], [], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "words"]).slice(5)
+    tracemalloc.start()
+    out, rows = [], 0
+    for x in analysis._analyzed(iter([batch]), stemming):
+        out.append([x.slice(0, 1).to_pylist()[0], x.num_rows])
+        assert x.num_rows == 1 or sum(x.column(1).to_pylist()) <= analysis.WORDS_AT_ONCE
+        rows += x.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == batch.num_rows and len(out) > 6 and peak < 40e6
+    first = out[0][0]
+    assert (first["doc_id"], first["len"], first["n_distinct"]) == (5, 200, 200)
+    want = [(w.removesuffix("s") if stemming else w, [k]) for k, w in enumerate(lists[5])]
+    assert list(zip(first["tokens"], first["positions"])) == want
+    long = next(x for x, n in out if x["len"] > analysis.WORDS_AT_ONCE)
+    assert long["n_distinct"] == 5003 and sorted(p for at in long["positions"] for p in at) == list(range(analysis.WORDS_AT_ONCE + 7))
+
+
+def test_stem_lists_in_parts(spark):
+    """Lists are stemmed some at a time, with their bounds kept."""
+    texts = [("foxes jumping " * k,) for k in range(300)] + [("hens " * (analysis.WORDS_AT_ONCE + 1),), ("",), (None,)]
+    df = spark.createDataFrame(texts, "text string").coalesce(1).select("text", analysis.tokens(F.col("text")).alias("t"))
+    for r in df.collect():
+        assert r["t"] == [{"foxes": "fox", "jumping": "jump", "hens": "hen"}[w] for w in (r["text"] or "").split()]
