@@ -8,29 +8,42 @@ position beyond the last; its gaps are p_last - p_0 - (n - 1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: So many of a query's rarest terms name the documents that can match.
+RAREST = 4
+#: Rows of expansions, and of documents that can match, that a broadcast may have.
+BROADCAST_ROWS = 500_000
 
-def candidates(expanded: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of all expansions."""
-    return postings.join(expanded, "token")
 
+def small(side: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if it has few rows; else Spark shuffles both."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
-def complete(expanded: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of the documents that have each of a query's terms; positions aren't read.
 
-    The postings of each query's rarest term (by its expansions' documents) name
-    the documents that can match; the others' are counted for these alone.
+def candidates(expanded: DataFrame, postings: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Postings of all expansions; pairs: (query_id, doc_id), of these alone.
+
+    Documents are looked for first, then terms: otherwise a frequent term would give a row for each query that has it.
+    """
+    return postings.join(expanded, "token") if pairs is None else postings.join(pairs, "doc_id").join(expanded, ["query_id", "token"])
+
+
+def promising_pairs(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents that have each of a query's RAREST rarest terms (by its expansions' documents); positions aren't read.
+
+    That is no cut: all documents that match are among them, and of a query of no
+    more terms they have all.  Queries with a term that nothing stands for have none.
     """
-    rarity = expanded.groupBy("query_id", "term_idx").agg(F.sum("df").alias("n"))
-    rarest = rarity.groupBy("query_id").agg(F.min(F.struct("n", "term_idx")).alias("least")).select("query_id", F.col("least.term_idx").alias("term_idx"))
-    pairs = postings.select("token", "doc_id")
-    few = candidates(expanded.join(rarest, ["query_id", "term_idx"]), pairs).select("query_id", "doc_id").distinct()
-    # For each of them, how many of its query's terms it has: (query_id, doc_id) is the key of both.
-    terms = candidates(expanded.select("query_id", "term_idx", "n_terms", "token"), pairs).join(few, ["query_id", "doc_id"], "left_semi")
-    have = terms.groupBy("query_id", "doc_id", "term_idx").agg(F.first("n_terms").alias("n_terms")).groupBy("query_id", "doc_id")
-    return have.agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms").select("query_id", "doc_id")
+    rarity = expanded.groupBy("query_id", "term_idx").agg(F.sum("df").alias("n"), F.first("n_terms").alias("n_terms"))
+    of_query = Window.partitionBy("query_id")
+    ranked = rarity.withColumn("nth", F.row_number().over(of_query.orderBy("n", "term_idx"))).withColumn("n_found", F.count("*").over(of_query))
+    rarest = ranked.where(f"nth <= {RAREST} and n_found = n_terms").select("query_id", "term_idx", "nth", F.least("n_terms", F.lit(RAREST)).alias("n_rare"))
+    rare = small(expanded.select("query_id", "term_idx", "token").join(rarest, ["query_id", "term_idx"]))
+    have = candidates(rare, postings.select("token", "doc_id")).groupBy("query_id", "doc_id")
+    have = have.agg(F.bit_or(F.expr("shiftleft(1, nth - 1)")).alias("have"), F.first("n_rare").alias("n_rare"))
+    return have.where("have = shiftleft(1, n_rare) - 1").select("query_id", "doc_id")
 
 
 def intersect(weighted: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from ..functions import analysis
 from ..functions.analysis import Analyzer
 from ..functions.scoring import term_bm25
 from ..operators.expand import expand, looked_up, terms_table
-from ..operators.phrase import best_scores, candidates, complete, intersect, score_bound
+from ..operators.phrase import best_scores, candidates, intersect, promising_pairs, score_bound, small
 from .query import Query, analyze, parse
 
 #: So many expansions at most are looked up by value, so that the filter reaches the scan.
 PUSHED_TOKENS = 500
-#: Postings beyond which a query's rarest term is looked at first (by their frequencies; results are the same).
+#: Postings beyond which a query's rarest terms are looked at first (by their frequencies; results are the same).
 MANY_POSTINGS = 1_000_000
 
 
@@ -43,9 +43,9 @@ def parse_all(queries: dict[str, str], analyzer: Analyzer) -> dict[str, Query]:
     return {name: analyze(parse(text), analyzer) for name, text in queries.items()}
 
 
-def weighted(expanded: DataFrame, tables: Tables, postings: DataFrame | None = None) -> DataFrame:
-    """Postings of all expansions with their share of a score."""
-    found = candidates(expanded, tables.postings if postings is None else postings).crossJoin(F.broadcast(tables.corpus))
+def weighted(expanded: DataFrame, tables: Tables, postings: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Postings of all expansions, or of pairs (query_id, doc_id) alone, with their share of a score."""
+    found = candidates(expanded, tables.postings if postings is None else postings, pairs).crossJoin(F.broadcast(tables.corpus))
     weight = term_bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("n_distinct"), F.col("avg_doc_len"), F.col("distance"))
     return found.withColumn("weight", weight)
 
@@ -72,11 +72,8 @@ def scores(spark: SparkSession, tables: Tables, queries: dict[str, Query], push:
             postings = postings.where(F.col("token").isin(sorted({row["token"] for row in few})))
             expanded = F.broadcast(spark.createDataFrame(few, expanded.schema))
             rarest_first = len({row["term_idx"] for row in few}) > 1 and sum(row["df"] for row in few) > MANY_POSTINGS
-    if rarest_first:
-        pairs = complete(expanded, postings)
-        hits = weighted(expanded, tables, postings).join(pairs, ["query_id", "doc_id"], "left_semi")
-    else:
-        hits = weighted(expanded, tables, postings)
+    pairs = small(promising_pairs(expanded, postings)) if rarest_first else None
+    hits = weighted(expanded, tables, postings, pairs)
     matched = intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight"))
     if top_k and any(len(q.terms) > 1 for q in queries.values()):
         matched = promising(matched, top_k)
@@ -103,9 +100,8 @@ def phrases(spark: SparkSession, tables: Tables, texts: DataFrame, id_col: str,
     """
     terms = texts.select(F.col(id_col).cast("string").alias("query_id"), analysis.tokens(F.col(text_col), analyzer).alias("t"))
     terms = terms.select("query_id", F.size("t").alias("n_terms"), F.posexplode("t").alias("term_idx", "token"))
-    expanded = terms.join(tables.vocab.select("token", "df"), "token").withColumns({"slop": F.lit(slop), "distance": F.lit(0)})
-    pairs = complete(expanded, tables.postings)
-    hits = weighted(expanded, tables).join(pairs, ["query_id", "doc_id"], "left_semi")
+    expanded = small(terms.join(tables.vocab.select("token", "df"), "token").withColumns({"slop": F.lit(slop), "distance": F.lit(0)}))
+    hits = weighted(expanded, tables, pairs=small(promising_pairs(expanded, tables.postings)))
     return best_scores(intersect(hits.select("query_id", "doc_id", "term_idx", "n_terms", "slop", "positions", "weight")))
 
 

@@ -1,9 +1,12 @@
 """The index's life: add, delete, flush, merge, reopen, registry, streams."""
 
+import re
+
 import pytest
 
 from phrasewell import Index, PhraseSearch
 from phrasewell.errors import ConfigError, DocumentIdError, MissingDocumentError, MissingIndexError
+from phrasewell.operators import phrase
 from phrasewell.sources import ulid
 from phrasewell.sources.config import Config
 from phrasewell.sources.store import Store
@@ -173,6 +176,36 @@ def test_texts_as_phrases(spark, tmp_path):
     assert got["1"] == pytest.approx(index.search('"two three four"~1')[0].score) and got["2"] == pytest.approx(index.search('"one three"~1')[0].score)
 
 
+def test_texts_shuffle_no_postings(spark, tmp_path, capsys, monkeypatch):
+    """The rarest terms name the documents; postings are looked up where they are, unless too many documents are named."""
+    index = Index(spark, str(tmp_path))
+    common = "one two three four five six seven eight"
+    texts = [f"{common} rare{k}" for k in range(4)] + [common, common, f"rare0 {common}", "eight seven six five", "rare1 rare2 rare3"]
+    with index.session():
+        for t in texts:
+            index.add(t)
+    wanted = {"a": f"{common} rare0", "b": "three four five six seven", "c": "one seven", "d": "rare1 unheard", "e": "rare2 rare3", "f": f"two one {common}"}
+    queries = spark.createDataFrame(list(wanted.items()), "id string, text string")
+    want = sorted((q, t) for q, text in wanted.items() for t in texts if f" {text} " in f" {t} ")
+
+    def found():
+        got = index.search_texts(queries).join(index.tables().documents, "doc_id")
+        return sorted((r["query_id"], r["content"]) for r in got.collect())
+
+    assert len(want) == 9 and found() == want
+    monkeypatch.setattr(phrase, "BROADCAST_ROWS", 0, raising=False)
+    assert found() == want
+    monkeypatch.undo()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.search_texts(queries).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+    assert shuffled and not any("positions" in x for x in shuffled)
+
+
 def test_registry(spark, tmp_path):
     engine = PhraseSearch(spark)
     fresh, index = engine.add("a", str(tmp_path))
