@@ -1,13 +1,16 @@
 """The index's life: add, delete, flush, merge, reopen, registry, streams."""
 
+import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from phrasewell import Index, PhraseSearch
 from phrasewell.errors import ConfigError, DocumentIdError, MissingDocumentError, MissingIndexError
 from phrasewell.operators import phrase
-from phrasewell.sources import ulid
+from phrasewell.functions.analysis import Analyzer
+from phrasewell.sources import store, ulid
 from phrasewell.sources.config import Config
 from phrasewell.sources.store import Store
 from phrasewell.streaming.ingest import delete_stream, ingest
@@ -206,6 +209,31 @@ def test_texts_shuffle_no_postings(spark, tmp_path, capsys, monkeypatch):
     assert shuffled and not any("positions" in x for x in shuffled)
 
 
+def test_postings_are_sorted_some_at_a_time(spark, tmp_path, monkeypatch):
+    """A task sorts SORTED_BYTES of postings, whatever size files may have; files are sorted ranges, also after a merge."""
+    monkeypatch.setattr(store, "SORTED_BYTES", 12_000, raising=False)
+    rng = random.Random(7)
+    texts = {f"{k:05d}": [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(120))] for k in range(400)}
+    made = Store(spark, str(tmp_path))
+    for part in (0, 1):
+        some = [(k, " ".join(w)) for k, w in texts.items() if int(k) % 2 == part]
+        made.append(spark.createDataFrame(some, "doc_id string, content string"), Analyzer(stem=False))
+    made.delete(spark.createDataFrame([("00003",), ("00004",)], "doc_id string"))
+    left = {k: w for k, w in texts.items() if k not in ("00003", "00004")}
+    for live in (texts, left):
+        files = [pq.read_table(p).to_pylist() for b in made.batches() for p in sorted((tmp_path / b).glob("postings/part-*"))]
+        assert len(files) > 4
+        for rows in files:
+            keys = [(r["token"], r["doc_id"]) for r in rows]
+            assert keys == sorted(keys)
+        got = {(r["token"], r["doc_id"]): (r["tf"], r["n_distinct"], r["positions"]) for rows in files for r in rows}
+        at = {(t, k): [i for i, x in enumerate(w) if x == t] for k, w in live.items() for t in set(w)}
+        assert got == {(t, k): (len(p), len(set(live[k])), p) for (t, k), p in at.items()}
+        stats = {r["doc_id"]: (r["len"], r["n_distinct"], set(r["tokens"])) for r in made.live("doc_stats").collect()}
+        assert stats == {k: (len(w), len(set(w)), set(w)) for k, w in left.items()}
+        made.merge(0.0)
+
+
 def test_registry(spark, tmp_path):
     engine = PhraseSearch(spark)
     fresh, index = engine.add("a", str(tmp_path))
